@@ -1,0 +1 @@
+"""No streaming operators: frames are read from finished videos, so every table here is a batch table."""
