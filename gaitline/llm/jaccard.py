@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -39,6 +39,8 @@ _RARE = 16  # shingles of more classes count as frequent
 _CHUNK = 1 << 21
 _OFTEN = 8
 _BITS = 26
+_MASK = (1 << 48) - 1
+_BROADCAST_NAMES = 1_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
 _BYTE = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "little") for b in range(256)], np.uint64)
@@ -151,30 +153,46 @@ def _longs(arrays: list[np.ndarray | None]) -> pa.Array:
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n, sig, pre (the extended hash prefix; null where this task has sent the class's), known (prefix shingles already sent often)."""
+    """id, n, sig of every row; sig is null for a row without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in _ranges(texts):
+                sets = shingle_sets(texts[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) if len(s) else None for s in sets], pa.int64())], names=[id_col, "n", "sig"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n long, sig long")
+
+
+def _postings(docs: DataFrame, text_col: str) -> DataFrame:
+    """(token, part): 48 bits each of the shingles of the extended hash prefixes and of their classes, each class about once a task.
+
+    A shingle that a task has sent for several classes is shared for sure: it is not sent
+    again, but a token of its own under two names stands for it. So no token has more rows
+    than a few for each task, however common it is. Tokens or classes that agree in 48
+    bits only can let more classes live on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         cells, often = np.zeros(1 << 20, np.uint8), {}
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in _ranges(texts):
-                n, sig, pre, known = [], [], [], []
+                tokens, parts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for s in shingle_sets(texts[a:b]):
-                    n.append(len(s))
-                    sig.append(_class(s) if len(s) else None)
-                    known.append(0)
-                    if not len(s) or sig[-1] in seen:
-                        pre.append(None)
+                    if len(s) < 3 or (sig := _class(s)) in seen:
                         continue
                     if len(seen) >= 1 << 20:
                         seen.clear()
-                    seen.add(sig[-1])
+                    seen.add(sig)
                     p = s[: len(s) - _must(len(s)) + _k(len(s))]
                     cell = (p & _U((1 << 20) - 1)).astype(np.int64)
                     crowded = np.flatnonzero(cells[cell] >= _OFTEN)
                     cells[cell] = np.minimum(cells[cell], 250) + 1
-                    if len(crowded):  # a shingle that this task has sent for many classes is shared for sure and need not be sent again
+                    known = 0
+                    if len(crowded):
                         stay = np.ones(len(p), bool)
                         for j in crowded.tolist():
                             t = int(p[j])
@@ -185,43 +203,42 @@ def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                                 if len(often) >= 1 << 20:
                                     often.clear()
                                 often[t] = sent + 1
-                        known[-1] = int((~stay).sum())
+                        known = int((~stay).sum())
                         p = p[stay]
-                    pre.append(p)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), _longs(pre), pa.array(known, pa.int64())], names=[id_col, "n", "sig", "pre", "known"])
+                    part = sig & _MASK
+                    tokens.append(p)
+                    parts.append(np.full(len(p), part))
+                    if known:
+                        with np.errstate(over="ignore"):
+                            own = _mix(_U(part) * _PRIME + np.arange(known, dtype=np.uint64))
+                        tokens += [own, own]
+                        parts += [np.full(known, part), np.full(known, part ^ 1)]
+                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(tokens) & _U(_MASK)).astype(np.int64)), pa.array(np.concatenate(parts))], names=["token", "part"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n long, sig long, pre array<long>, known long")
+    return docs.select(text_col).mapInArrow(run, "token long, part long")
 
 
-def _whole_sets(docs: DataFrame, text_col: str, wanted: np.ndarray) -> DataFrame:
-    """(sig, n, tokens) of the classes whose bit is set, about once for each task that meets the class."""
+def _whole_sets(docs: DataFrame, id_col: str, text_col: str, wanted: np.ndarray) -> DataFrame:
+    """(sig, n, tokens) of the rows whose id's bit is set."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
+            bit = batch.column(0).to_numpy() & ((1 << _BITS) - 1)
+            hit = (shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
+            texts = [t or "" for t in batch.column(1).filter(pa.array(hit.astype(bool))).to_pylist()]
             for a, b in _ranges(texts):
-                kept = []
-                for s in shingle_sets(texts[a:b]):
-                    if len(s) > 2:
-                        sig = _class(s)
-                        bit = sig & ((1 << _BITS) - 1)
-                        if shared.value[bit >> 3] >> (bit & 7) & 1 and sig not in seen:
-                            if len(seen) >= 1 << 20:
-                                seen.clear()
-                            seen.add(sig)
-                            kept.append((sig, s))
+                kept = [s for s in shingle_sets(texts[a:b]) if len(s) > 2]
                 if kept:
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int64()), _longs([s for _, s in kept])], names=["sig", "n", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in kept], pa.int64()), pa.array([len(s) for s in kept], pa.int64()), _longs(kept)], names=["sig", "n", "tokens"])
 
-    return docs.select(text_col).mapInArrow(run, "sig long, n long, tokens array<long>")
+    return docs.select(F.xxhash64(id_col).alias("h"), text_col).mapInArrow(run, "sig long, n long, tokens array<long>")
 
 
-def _bitmap(sigs: DataFrame) -> np.ndarray:
-    """2**26 bits (8 MB, whatever the input), those of the given classes set; classes that share a bit only add work."""
-    bit = F.col("sig").bitwiseAND(F.lit((1 << _BITS) - 1))
-    rows = sigs.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bits")).toArrow()
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """2**26 bits (8 MB, whatever the input), those of the given ``h`` set; ids that share a bit only add work."""
+    bit = F.col("h").bitwiseAND(F.lit((1 << _BITS) - 1))
+    rows = hashes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bits")).toArrow()
     out = np.zeros(1 << (_BITS - 3), np.uint8)
     for block, bits in zip(rows["block"].to_pylist(), rows["bits"].to_pylist()):
         out[block * 4096 : block * 4096 + len(bits)] = np.frombuffer(bits, np.uint8)
@@ -229,12 +246,20 @@ def _bitmap(sigs: DataFrame) -> np.ndarray:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar."""
+    """The pairs (a, b) of classes whose sets are similar.
+
+    Only sets that occur in a pair are shuffled: where their names are a few megabytes,
+    by their counted number, the names are broadcast to the sets, else they are joined.
+    """
+    pairs = materialize(pairs, "pairs")
+    names = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    names = F.broadcast(names) if names.count() <= _BROADCAST_NAMES else names
+    sets = sets.join(names, "sig", "left_semi")
     left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), F.size("ta").alias("na"), F.size("tb").alias("nb"))
-    return joined.where(SHARE[1] * F.col("both") >= SHARE[0] * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    return joined.where(SHARE[1] * F.col("both") >= SHARE[0] * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -269,21 +294,21 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingles with the same 64-bit hash would count as one. Needs ``spark.checkpoint.dir``.
     """
     members = materialize(_members(docs, id_col, text_col), "members")
-    classes = materialize(members.where("n > 0").groupBy("sig").agg(F.max("n").alias("n"), F.min(id_col).alias("rep"), F.max("known").alias("known")), "classes")
+    classes = materialize(members.where("n > 0").groupBy("sig").agg(F.max("n").alias("n"), F.min(id_col).alias("rep")), "classes")
 
     # 1: classes with enough shared shingles in their hash prefixes.
-    posted = members.where("pre is not null and n > 2").select("sig", F.explode("pre").alias("token"))
-    spread = posted.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("token")
-    shared = posted.join(spread, "token").groupBy("sig").agg(F.count(F.lit(1)).alias("shared"))
+    posted = _postings(docs, text_col)
+    same = Window.partitionBy("token")
+    shared = posted.select("part", (F.min("part").over(same) < F.max("part").over(same)).alias("met")).where("met").groupBy("part").agg(F.count(F.lit(1)).alias("shared"))
     partner = F.ceil(SHARE[0] * F.col("n") / SHARE[1])  # the smallest partner's size, which is the overlap that a link needs
     least = F.floor(partner / _EXTRA) + 1
-    alive = classes.where("n > 2").join(shared, "sig", "left").where(F.coalesce("shared", F.lit(0)) + F.col("known") >= least).select("sig")
+    alive = classes.where("n > 2").withColumn("part", F.col("sig").bitwiseAND(F.lit(_MASK))).join(shared, "part").where(F.col("shared") >= least).select(F.xxhash64("rep").alias("h"))
 
-    # 2: whole sets of these, rare shingles first.
-    sets = materialize(_whole_sets(docs, text_col, _bitmap(alive)).dropDuplicates(["sig"]), "sets")
-    post = sets.select("sig", "n", F.explode("tokens").alias("token"))
+    # 2: whole sets of these (of a class more than once only where ids repeat or share a bit), rare shingles first.
+    sets = materialize(_whole_sets(docs, id_col, text_col, _bitmap(alive)), "sets")
+    post = sets.select("sig", F.explode("tokens").alias("token"))
     often = post.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = post.join(often, "token").groupBy("sig", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
+    ranked = post.join(often, "token").groupBy("sig").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("df", "token")))).alias("list")).join(classes.select("sig", "n"), "sig")
     take = F.col("n") - partner + 2 - (F.col("n") - F.size("list"))
     kept = ranked.where(F.size("list") >= partner).where(take > 0).select("sig", "n", F.explode(F.slice("list", F.lit(1), take.cast("int"))).alias("t")).select("sig", "n", "t.token")
     prefix = materialize(kept, "prefix")
@@ -337,9 +362,14 @@ def _open(prefix: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that with its smallest id. Rows without words all stay; columns are unchanged.
 
-    Rows that repeat that id stay once. The rows kept join the texts by their id.
+    Rows that repeat an id stay once; rows without one all stay. The ids that go join the texts: by broadcast up to a
+    million of them, by a shuffle beyond.
     """
-    found = link_components(docs, id_col, text_col)
-    keep = materialize(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep"), (F.col("n_shingles") > 0).alias("__words")).distinct(), "kept")
-    joined = docs.join(keep, docs[id_col].eqNullSafe(F.col("__keep")), "left_semi")
-    return joined if docs.select(id_col).isEmpty() else joined.dropDuplicates([id_col])
+    found = materialize(link_components(docs, id_col, text_col), "components")
+    lose = materialize(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__lose")).distinct(), "dropped")
+    lose = F.broadcast(lose) if lose.count() <= _BROADCAST_NAMES else lose
+    kept = docs.join(lose, docs[id_col] == F.col("__lose"), "left_anti")
+    repeated = found.where("n_shingles > 0").where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
