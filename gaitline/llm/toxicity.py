@@ -145,15 +145,19 @@ def _fit(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, ratio: np.ndarra
     return w * ratio, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 20_000, rounds: int = 150, damping: float = 3e-4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 20_000, rounds: int = 150, damping: float = 3e-4, most_broadcast: int = 5_000_000) -> Model:
     """A model from the labelled rows that are not held out.
 
     The counts cover all of them; the regression over the scaled features is fitted on
     about ``fit_rows`` of them at most, by a hash of their id. Labels other than 0 and 1
     and missing ids are left out. Without labels of both kinds every score is the
-    smoothed share of toxic rows.
+    smoothed share of toxic rows. Up to ``most_broadcast`` labels (an id and a bit each) are
+    broadcast to the texts, by their counted number; more of them are joined by a shuffle.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__toxic"))
+    known = materialize(known, "toxic-labels")
+    if known.count() <= most_broadcast:
+        known = F.broadcast(known)
     rows = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text")).join(known, F.col("__own") == F.col("__id")).select(F.col("__text").alias("text"), F.col("__toxic").alias("toxic"), F.pmod(F.hash("__id"), F.lit(1_000_000)).alias("order"))
     rows = materialize(rows, "toxic-train")
     clean, toxic, n_clean, n_toxic = bucket_counts(rows.select("text", "toxic"))
