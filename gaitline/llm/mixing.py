@@ -19,7 +19,7 @@ from .common import fresh, word_count
 
 #: Start and end of the linear weight schedules that sources take in turn; their integrals are 5, 2 and 1.
 SCHEDULES = ((7.5, 2.5), (2.0, 2.0), (0.5, 1.5))
-_BUCKET_ROWS = 20_000
+_BUCKET_ROWS = 3_000
 
 
 def _targets(sums: DataFrame, schedules, most_repeats: float) -> DataFrame:
@@ -59,13 +59,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     size, source_size, target, taken, copies, positions = fresh(docs, "size", "source_size", "target", "taken", "copies", "positions")
     digits = max(1, min(8, math.ceil(math.log(max(1, docs.count() / _BUCKET_ROWS), 16))))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    keyed = docs.select("*", word_count(text_col).alias(size), F.col(source_col).isNull().alias("__none"), F.coalesce(F.col(source_col), F.lit("")).alias("__src"), order.alias("__order")).withColumn("__bucket", F.substring("__order", 1, digits))
+    keyed = docs.select("*", word_count(text_col).alias(size), F.col(source_col).isNull().alias("__none"), F.coalesce(F.col(source_col), F.lit("")).alias("__src"), order.alias("__order"), F.xxhash64(text_col).alias("__tie")).withColumn("__bucket", F.substring("__order", 1, digits))
     sums = keyed.groupBy("__none", "__src", "__bucket").agg(F.sum(size).alias("__part"))
     targets = _targets(sums, schedules, most_repeats)
     earlier = Window.partitionBy("__none", "__src").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("__start", F.coalesce(F.sum("__part").over(earlier), F.lit(0))).join(targets, ["__none", "__src"]).drop("__part")
     joined = keyed.join(starts, ["__none", "__src", "__bucket"])
-    within = Window.partitionBy("__none", "__src", "__bucket").orderBy("__order", size, F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__none", "__src", "__bucket").orderBy("__order", size, "__tie").rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("__start") + F.coalesce(F.sum(size).over(within), F.lit(0)) + F.col(size) / 2
     placed = joined.withColumn("__middle", middle)
     turns = F.transform(F.sequence(F.lit(0), F.lit(most_repeats - 1)), lambda e: e * F.col("__total") + F.col("__middle"))
