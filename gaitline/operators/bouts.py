@@ -65,7 +65,7 @@ def window_rows(frames: DataFrame, size: int, stride: int) -> DataFrame:
     counted = frames.select("*", n.alias("__n")).where(F.col("__n") >= size)
     first = F.greatest(F.lit(0), F.ceil((F.col("frame") - size + 1) / stride))
     last = F.least(F.floor(F.col("frame") / stride), F.floor((F.col("__n") - size) / stride))
-    return counted.where(first <= last).select("*", (F.explode(F.sequence(first, last)) * stride).cast("int").alias("start")).withColumn("pos", (F.col("frame") - F.col("start")).cast("int")).drop("__n")
+    return counted.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("__k")).withColumn("start", (F.col("__k") * stride).cast("int")).withColumn("pos", (F.col("frame") - F.col("start")).cast("int")).drop("__n", "__k")
 
 
 def window_arrays(frames: DataFrame, columns: list[str], size: int, stride: int, label: str | None = None) -> DataFrame:

@@ -407,13 +407,13 @@ def g9(spark, d):
 _ORDER = "f1 desc, least(precision, recall) desc, precision desc, recall desc, abs(threshold - 0.5), threshold"
 
 
-@query("p19_threshold_grid", f"with {fx.FRAMES}, t as (select distinct round(0.35 + k * 0.01, 10) as threshold from range(41) q(k)) select threshold, count(*) filter (prob >= threshold) as positives from fx_frames, t group by 1")
+@query("p19_threshold_grid", f"with {fx.FRAMES}, t as (select distinct round(0.35::double + k * 0.01::double, 10) as threshold from range(41) q(k)) select threshold, count(*) filter (prob >= threshold) as positives from fx_frames, t group by 1")
 def p19(spark, d):
     # how many frames each threshold lets through: the grid alone would be a fixed small table
     return S.apply_thresholds(fx.frames(spark, d), S.threshold_grid(spark)).groupBy("threshold").agg(F.sum("pred").alias("positives"))
 
 
-@query("j14_threshold_sweep", f"with {fx.FRAMES}, t as (select distinct round(0.35 + k * 0.05, 10) as threshold from range(9) q(k)), x as (select stem, frame, threshold, prob from fx_frames, t), {fx.bout_sql('x', 'prob >= threshold', 3, 1, 'stem, threshold')} select threshold, count(*) as n_bouts, cast(sum(n_positive) as bigint) as positives from fx_bouts group by 1")
+@query("j14_threshold_sweep", f"with {fx.FRAMES}, t as (select distinct round(0.35::double + k * 0.05::double, 10) as threshold from range(9) q(k)), x as (select stem, frame, threshold, prob from fx_frames, t), {fx.bout_sql('x', 'prob >= threshold', 3, 1, 'stem, threshold')} select threshold, count(*) as n_bouts, cast(sum(n_positive) as bigint) as positives from fx_bouts group by 1")
 def j14(spark, d):
     rows = S.apply_thresholds(fx.frames(spark, d).select("stem", "frame", "prob"), S.threshold_grid(spark, 0.35, 0.75, 0.05))
     return B.bouts(rows, F.col("pred") == 1, 3, 1, ("stem", "threshold")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n_bouts"), F.sum("n_positive").alias("positives"))

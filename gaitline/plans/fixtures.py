@@ -101,7 +101,7 @@ def runs_sql(name: str = "fx_runs", scale: float = 1.0) -> str:
     from (select o, i, threshold, tp, fp, fn, tn, case when tp + fp > 0 then tp / (tp + fp) else 0.0 end as precision, case when tp + fn > 0 then tp / (tp + fn) else 0.0 end as recall
           from (select user_id % 5 as o, (user_id // 5) % 4 as i, threshold, count(*) filter (truth = 1 and least(prob * {scale}, 1.0) >= threshold) as tp, count(*) filter (truth = 0 and least(prob * {scale}, 1.0) >= threshold) as fp,
                        count(*) filter (truth = 1 and least(prob * {scale}, 1.0) < threshold) as fn, count(*) filter (truth = 0 and least(prob * {scale}, 1.0) < threshold) as tn
-                from fx_frames, (select distinct round(0.35 + k * 0.05, 10) as threshold from range(9) t(k)) group by 1, 2, 3)))"""
+                from fx_frames, (select distinct round(0.35::double + k * 0.05::double, 10) as threshold from range(9) t(k)) group by 1, 2, 3)))"""
 
 
 def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
