@@ -29,9 +29,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles at six places, as sums differ in their last digits by the order of rows."""
-    return df.select(*[F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, nudge: float = 0.0) -> DataFrame:
+    """Doubles at six places, as sums differ in their last digits by the order of rows; ``nudge`` keeps sums of short decimals off the half."""
+    return df.select(*[F.round(F.col(c) + nudge, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
 def r6(*columns: str) -> str:
@@ -259,9 +259,9 @@ def a12(spark, d):
     return w.agg(F.count_if(F.col("p") > 0).alias("positive"), F.count_if(F.col("p") == 0).alias("negative"), F.ceil(F.count(F.lit(1)) / 32).alias("steps"))
 
 
-@query("a13_window_norms", f"with {fx.FRAMES}, {fx.WINDOWS}, w as (select stem, start, min(abs(prob)) as lo, max(abs(prob)) as hi, sum(abs(prob)) as total, count(*) as n from fx_rows group by 1, 2) select stem, round(min(lo), 6) as min_norm, round(max(hi), 6) as max_norm, round(sum(total) / sum(n), 6) as mean_norm, count(*) filter (hi = 0) as zero_windows, count(*) as windows from w group by stem")
+@query("a13_window_norms", f"with {fx.FRAMES}, {fx.WINDOWS}, w as (select stem, start, min(abs(prob)) as lo, max(abs(prob)) as hi, sum(abs(prob)) as total, count(*) as n from fx_rows group by 1, 2) select stem, round(min(lo), 6) as min_norm, round(max(hi), 6) as max_norm, round(sum(total) / sum(n) + 1e-9, 6) as mean_norm, count(*) filter (hi = 0) as zero_windows, count(*) as windows from w group by stem")
 def a13(spark, d):
-    return rounded(B.window_norms(fx.frames(spark, d), ["prob"], fx.WINDOW, fx.STRIDE))
+    return rounded(B.window_norms(fx.frames(spark, d), ["prob"], fx.WINDOW, fx.STRIDE), 1e-9)
 
 
 @query("a26_restored_windows", f"with {fx.FRAMES}, {fx.WINDOWS}, w as (select stem, count(distinct start) as restored from fx_rows group by 1), n as (select stem, cast(case when count(*) < 10 then 0 else 1 + (count(*) - 10) // 5 end as bigint) as recorded from fx_frames group by 1) select stem, recorded, coalesce(restored, 0) as restored, recorded = coalesce(restored, 0) as valid from n left join w using (stem)")
@@ -271,11 +271,11 @@ def a26(spark, d):
     return out.withColumn("valid", F.col("recorded") == F.col("restored"))
 
 
-@query("u1_score_windows", f"with {fx.FRAMES}, {fx.WINDOWS} select stem, cast(start as int) as start, round(sum(prob * prob), 4) as total, count(*) as n from fx_rows group by 1, 2")
+@query("u1_score_windows", f"with {fx.FRAMES}, {fx.WINDOWS} select stem, cast(start as int) as start, round(sum(prob * prob) + 0.00001, 4) as total, count(*) as n from fx_rows group by 1, 2")
 def u1(spark, d):
     w = B.window_arrays(fx.frames(spark, d), ["prob"], fx.WINDOW, fx.STRIDE)
     scored = B.score_windows(w, lambda x: [[f[0] * f[0] for f in rows] for rows in x])
-    return scored.select("stem", "start", F.round(F.aggregate("probs", F.lit(0.0), lambda a, p: a + p), 4).alias("total"), F.size("probs").cast("long").alias("n"))
+    return scored.select("stem", "start", F.round(F.aggregate("probs", F.lit(0.0), lambda a, p: a + p) + 0.00001, 4).alias("total"), F.size("probs").cast("long").alias("n"))
 
 
 _ENSEMBLE = "recon as (select stem, frame, sum(prob) / count(*) as prob, max(truth) as truth, (sum(prob) / count(*) >= 0.5)::int as pred from fx_members group by 1, 2)"
@@ -290,9 +290,9 @@ def j4(spark, d):
     return rounded(fx.member_scores(spark, d).groupBy("member", "stem").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("prob").alias("total")))
 
 
-@query("a4_a5_p10_reconstruct", f"with {fx.FRAMES}, {fx.WINDOWS}, {fx.MEMBER_SCORES}, {_ENSEMBLE} select stem, frame, round(prob, 6) as prob, truth, pred from recon")
+@query("a4_a5_p10_reconstruct", f"with {fx.FRAMES}, {fx.WINDOWS}, {fx.MEMBER_SCORES}, {_ENSEMBLE} select stem, frame, round(prob + 1e-9, 6) as prob, truth, pred from recon")
 def a4(spark, d):
-    return rounded(reconstructed(spark, d))
+    return rounded(reconstructed(spark, d), 1e-9)
 
 
 @query("a6_coverage", f"with {fx.FRAMES}, {fx.WINDOWS}, t as (select stem, max(start) + 10 as n from fx_rows group by 1), s as (select stem, count(distinct frame) as c from fx_rows where user_id % 10 <> 1 group by 1), b as (select n, coalesce(c, 0) as c from t left join s using (stem)) select cast(sum(n) as bigint) as n_total_frames, cast(sum(c) as bigint) as n_scored_frames, count(*) as n_total_videos, count(*) filter (c > 0) as n_scored_videos, round(sum(c) / sum(n), 6) as frame_coverage, count(*) filter (c = 0) as n_fully_recused_videos from b")
@@ -800,9 +800,9 @@ def u4_extract(spark, d):
     return X.zero_fill(filled, [c for c in filled.columns if c not in ("stem", "frame")])[0]
 
 
-@query("u4_predict_pipeline", f"with {fx.FRAMES}, {fx.WINDOWS}, {fx.MEMBER_SCORES}, {_ENSEMBLE}, num as (select *, frame as f0, cast(row_number() over (partition by stem order by frame) - 1 as int) as p from recon), posd as (select stem, p as frame, f0, prob from num), {fx.bout_sql('posd', 'prob >= 0.4', 3, 1)} select b.stem, min(f0) as start_frame, max(f0) as end_frame, count(*) as n_frames, round(avg(prob), 6) as mean_probability, round(max(prob), 6) as max_probability from fx_bouts b join posd on posd.stem = b.stem and posd.frame between b.start_frame and b.end_frame group by b.stem, b.start_frame")
+@query("u4_predict_pipeline", f"with {fx.FRAMES}, {fx.WINDOWS}, {fx.MEMBER_SCORES}, {_ENSEMBLE}, num as (select *, frame as f0, cast(row_number() over (partition by stem order by frame) - 1 as int) as p from recon), posd as (select stem, p as frame, f0, prob from num), {fx.bout_sql('posd', 'prob >= 0.4', 3, 1)} select b.stem, min(f0) as start_frame, max(f0) as end_frame, count(*) as n_frames, round(avg(prob) + 1e-9, 6) as mean_probability, round(max(prob) + 1e-9, 6) as max_probability from fx_bouts b join posd on posd.stem = b.stem and posd.frame between b.start_frame and b.end_frame group by b.stem, b.start_frame")
 def u4_predict(spark, d):
-    return rounded(B.bout_table(reconstructed(spark, d), F.col("prob") >= 0.4, 3, 1))
+    return rounded(B.bout_table(reconstructed(spark, d), F.col("prob") >= 0.4, 3, 1), 1e-9)
 
 
 @query("u4_evaluate_pipeline")
