@@ -274,7 +274,7 @@ def a26(spark, d):
 @query("u1_score_windows", f"with {fx.FRAMES}, {fx.WINDOWS} select stem, cast(start as int) as start, round(sum(prob::float::double * prob::float::double) + 1e-9, 6) as total, count(*) as n from fx_rows group by 1, 2")
 def u1(spark, d):
     w = B.window_arrays(fx.frames(spark, d), ["prob"], fx.WINDOW, fx.STRIDE)
-    scored = B.score_windows(w, lambda x: [[f[0] * f[0] for f in rows] for rows in x])
+    scored = B.score_windows(w, lambda x: [[float(f[0]) ** 2 for f in rows] for rows in x])
     return scored.select("stem", "start", F.round(F.aggregate("probs", F.lit(0.0), lambda a, p: a + p) + 1e-9, 6).alias("total"), F.size("probs").cast("long").alias("n"))
 
 
