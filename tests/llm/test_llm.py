@@ -115,7 +115,7 @@ def test_toxicity(spark, odd):
     held = [r for r in rows if r.held_out]
     tp, fp, fn = (sum(r.predicted == p and r.toxic == t for r in held) for p, t in ((1, 1), (1, 0), (0, 1)))
     assert tp / (tp + fp) > 0.9 and tp / (tp + fn) > 0.85
-    assert len({r.score for r in toxicity.score(odd, model).where("text is null or text = ''").collect()}) == 1
+    assert len({r.score for r in toxicity.score(odd.where("text is null or text = ''"), model).collect()}) == 1
     assert toxicity.score(odd, model).count() == odd.count() and toxicity.keep_clean(odd, model).columns == odd.columns
     none = toxicity.train(docs, labels.limit(0))
     assert {r.score for r in toxicity.score(odd, none).collect()} == {0.5}
