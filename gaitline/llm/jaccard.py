@@ -14,7 +14,10 @@ the Jaccard similarity of their sets is at least ``share``. The steps:
    as their first class. This joins large groups of near copies by a star, not by all pairs.
 4. *Combinations.* Prefix shingles whose classes are still in several components are
    indexed: rare ones singly; of frequent ones, since prefixes are extended by
-   one, each pair of them. Pairs of classes in different components that meet are verified.
+   one, each pair of them. A pair of classes needs the more shared shingles the less its
+   sizes differ, so that only keys from the first seventh of the smaller set are looked up, and
+   two classes meet only by shingles within the prefixes that their own two sizes ask for.
+   Pairs of classes in different components that meet are verified.
 
 Every filter is exact, so no link between different components is lost; pairs inside
 a component need no check, as they can't change it.
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -35,7 +38,7 @@ from .common import materialize
 SHINGLE = 5
 SHARE = (75, 100)
 _EXTRA = 16  # the hash prefix is extended by a sixteenth of the set
-_RARE = 16  # shingles of more classes count as frequent
+_RARE = 256  # shingles of more classes count as frequent
 _CHUNK = 1 << 21
 _OFTEN = 8
 _BITS = 26
@@ -308,9 +311,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(_whole_sets(docs, id_col, text_col, _bitmap(alive)), "sets")
     post = sets.select("sig", F.explode("tokens").alias("token"))
     often = post.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = post.join(often, "token").groupBy("sig").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("df", "token")))).alias("list")).join(classes.select("sig", "n"), "sig")
-    take = F.col("n") - partner + 2 - (F.col("n") - F.size("list"))
-    kept = ranked.where(F.size("list") >= partner).where(take > 0).select("sig", "n", F.explode(F.slice("list", F.lit(1), take.cast("int"))).alias("t")).select("sig", "n", "t.token")
+    ranked = post.join(often, "token").groupBy("sig").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("list")).join(classes.select("sig", "n"), "sig")
+    single = F.col("n") - F.size("list")  # shingles of this class alone come before all others
+    take = F.col("n") - partner + 2 - single
+    kept = ranked.where(F.size("list") >= partner).where(take > 0).select("sig", "n", single.alias("single"), F.posexplode(F.slice("list", F.lit(1), take.cast("int"))).alias("at", "t"))
+    kept = kept.select("sig", "n", (F.col("single") + F.col("at")).alias("pos"), "t.token")
     prefix = materialize(kept, "prefix")
 
     # 3: leaders, each round with another order of the classes.
@@ -329,14 +334,20 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     now = materialize(_open(prefix, labels), "open")
     wide = now.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
     classed = now.join(wide, "token")
-    rare = classed.where(F.col("m") <= _RARE).select("sig", "n", "comp", F.struct("token", F.lit(None).cast("long").alias("next")).alias("key"))
-    lists = classed.where(F.col("m") > _RARE).groupBy("sig", "n", "comp").agg(F.sort_array(F.collect_list("token")).alias("all"))
-    combos = lists.select("sig", "n", "comp", F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, F.greatest(F.size("all") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("token"), y.alias("next")))))).alias("key"))
+    cell = F.struct("pos", "token")
+    rare = classed.where(F.col("m") <= _RARE).select("sig", "n", "comp", "pos", "token", F.lit(None).cast("long").alias("next"))
+    lists = classed.where(F.col("m") > _RARE).groupBy("sig", "n", "comp").agg(F.sort_array(F.collect_list(cell)).alias("all"))
+    heads = lists.select("sig", "n", "comp", "all", F.posexplode("all").alias("at", "head"))
+    tails = heads.select("sig", "n", "comp", "head", F.explode(F.slice("all", F.col("at") + 2, F.greatest(F.size("all") - F.col("at") - 1, F.lit(0)))).alias("tail"))
+    combos = tails.select("sig", "n", "comp", "tail.pos", F.col("head.token").alias("token"), F.col("tail.token").alias("next"))
     index = rare.unionByName(combos)
-    mixed = index.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    index = index.join(mixed, "key")
-    other = index.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = index.join(other, "key").where(F.col("sig") < F.col("b")).where("comp <> cb").where(_near("n", "nb")).select(F.col("sig").alias("a"), "b").distinct()
+    seek = index.where(F.col("pos") < F.col("n") - _overlap(F.col("n"), F.col("n")) + 2)
+    other = index.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("pos").alias("pb"), F.col("token").alias("tb"), F.col("next").alias("xb"))
+    must = _overlap(F.col("n"), F.col("nb"))
+    meet = (F.col("token") == F.col("tb")) & F.col("next").eqNullSafe(F.col("xb")) & (F.col("comp") != F.col("cb"))
+    smaller = (F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("sig") < F.col("b")))
+    within = (F.col("pos") < F.col("n") - must + 2) & (F.col("pb") < F.col("nb") - must + 2)
+    pairs = seek.join(other, meet & smaller & _near("n", "nb") & within).select(F.col("sig").alias("a"), "b").distinct()
     labels = components(links.union(_verify(pairs, sets)))
 
     whole = classes.join(labels, "sig", "left")
@@ -352,11 +363,16 @@ def _near(one: str, two: str):
     return SHARE[1] * small >= SHARE[0] * large
 
 
+def _overlap(one: Column, two: Column) -> Column:
+    """Least overlap of two similar sets of these sizes."""
+    return F.ceil(SHARE[0] * (one + two) / sum(SHARE))
+
+
 def _open(prefix: DataFrame, labels: DataFrame) -> DataFrame:
     """The prefix rows with their component (a class without links is its own) of shingles that occur in several components."""
     own = prefix.join(labels, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     several = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    return own.join(several, "token").select("sig", "n", "token", "comp")
+    return own.join(several, "token").select("sig", "n", "pos", "token", "comp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
