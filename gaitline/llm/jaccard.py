@@ -10,8 +10,9 @@ the Jaccard similarity of their sets is at least ``share``. The steps:
    This drops nearly all documents without a partner at a third of the shuffle.
 2. *Rare first.* The whole sets of the classes that live on are ordered by how many of
    them hold a shingle. Single rare shingles of the prefix are indexed as they are.
-3. *Leaders.* Each class is checked against the one that most of its prefix shingles name
-   as their first class. This joins large groups of near copies by a star, not by all pairs.
+3. *Leaders.* Every prefix shingle names two of its classes, drawn anew each round, and a class
+   is checked against the two of other components that most of its shingles name. This joins
+   large groups of near copies by stars, not by all pairs. Rounds go on while they find links.
 4. *Combinations.* Prefix shingles whose classes are still in several components are
    indexed: rare ones singly; of frequent ones, since prefixes are extended by
    one, each pair of them. A pair of classes needs the more shared shingles the less its
@@ -38,7 +39,8 @@ from .common import materialize
 SHINGLE = 5
 SHARE = (75, 100)
 _EXTRA = 16  # the hash prefix is extended by a sixteenth of the set
-_RARE = 256  # shingles of more classes count as frequent
+_RARE = 1024  # shingles of more classes count as frequent: so a single key meets half a million pairs at most
+_FEW = 50  # rounds of leaders end when fewer than one of so many checked pairs is a link
 _CHUNK = 1 << 21
 _OFTEN = 8
 _BITS = 26
@@ -249,12 +251,11 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar.
+    """The pairs (a, b), a written table, of classes whose sets are similar.
 
     Only sets that occur in a pair are shuffled: where their names are a few megabytes,
     by their counted number, the names are broadcast to the sets, else they are joined.
     """
-    pairs = materialize(pairs, "pairs")
     names = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
     names = F.broadcast(names) if names.count() <= _BROADCAST_NAMES else names
     sets = sets.join(names, "sig", "left_semi")
@@ -288,7 +289,7 @@ def components(links: DataFrame) -> DataFrame:
         links = materialize(links.join(a, "a").join(b, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "links")
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leader_rounds: int = 2) -> DataFrame:
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leader_rounds: int = 8) -> DataFrame:
     """id, ``n_shingles`` and ``component_id`` (the smallest id reachable by links) of every row.
 
     A row without words, or without a text, has 0 shingles and is its own component. Rows
@@ -318,17 +319,15 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = kept.select("sig", "n", (F.col("single") + F.col("at")).alias("pos"), "t.token")
     prefix = materialize(kept, "prefix")
 
-    # 3: leaders, each round with another order of the classes.
+    # 3: leaders, each round with others; whatever they miss is left to the last step.
     links, labels = None, None
     for turn in range(leader_rounds):
-        now = prefix if labels is None else _open(prefix, labels)
-        order = F.xxhash64("sig", F.lit(turn))
-        first = now.groupBy("token").agg(F.min_by("sig", order).alias("lead"), F.min_by("n", order).alias("lead_n"), F.count(F.lit(1)).alias("m")).where("m > 1")
-        votes = now.join(first, "token").where("sig <> lead").where(_near("n", "lead_n")).groupBy("sig", "lead").agg(F.count(F.lit(1)).alias("votes"))
-        best = votes.groupBy("sig").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead"))
-        found = _verify(best.select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).distinct(), sets)
-        links = materialize(found if links is None else links.union(found), "found")
+        asked = materialize(_leaders(prefix, labels, turn), "asked")
+        found = materialize(_verify(asked, sets), "found")
+        links = found if links is None else materialize(links.union(found), "links")
         labels = components(links)
+        if found.count() * _FEW < asked.count():
+            break
 
     # 4: single rare shingles and pairs of frequent ones, where components still meet.
     now = materialize(_open(prefix, labels), "open")
@@ -348,7 +347,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smaller = (F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("sig") < F.col("b")))
     within = (F.col("pos") < F.col("n") - must + 2) & (F.col("pb") < F.col("nb") - must + 2)
     pairs = seek.join(other, meet & smaller & _near("n", "nb") & within).select(F.col("sig").alias("a"), "b").distinct()
-    labels = components(links.union(_verify(pairs, sets)))
+    labels = components(links.union(_verify(materialize(pairs, "pairs"), sets)))
 
     whole = classes.join(labels, "sig", "left")
     least_id = whole.where("comp is not null").groupBy(F.col("comp").alias("c")).agg(F.min("rep").alias("least"))
@@ -375,6 +374,22 @@ def _open(prefix: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(several, "token").select("sig", "n", "pos", "token", "comp")
 
 
+def _leaders(prefix: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """The pairs (a, b) to check in a round: each class with at most two others, of other components.
+
+    In the first round a shingle names its classes with the least and greatest hash, so that a group
+    agrees on them; later ones hash the shingle too, so that a class tries other partners.
+    """
+    now = prefix.withColumn("comp", F.col("sig")) if labels is None else _open(prefix, labels)
+    order = F.xxhash64("sig", F.lit(turn)) if turn == 0 else F.xxhash64("sig", "token", F.lit(turn))
+    who = F.struct(order.alias("order"), F.col("sig").alias("lead"), F.col("n").alias("lead_n"), F.col("comp").alias("lead_comp"))
+    named = now.groupBy("token").agg(F.min(who).alias("one"), F.max(who).alias("two"))
+    votes = now.join(named, "token").select("sig", "n", "comp", F.explode(F.array("one", "two")).alias("by")).where("comp <> by.lead_comp").where(_near("n", "by.lead_n"))
+    votes = votes.groupBy("sig", "by.lead").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("sig").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", "lead")), asc=False), 1, 2).alias("best"))
+    return best.select("sig", F.explode("best.lead").alias("lead")).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that with its smallest id. Rows without words all stay; columns are unchanged.
 
