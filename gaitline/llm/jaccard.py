@@ -17,7 +17,8 @@ the Jaccard similarity of their sets is at least ``share``. The steps:
    indexed: rare ones singly; of frequent ones, since prefixes are extended by
    one, each pair of them. A pair of classes needs the more shared shingles the less its
    sizes differ, so that only keys from the first seventh of the smaller set are looked up, and
-   two classes meet only by shingles within the prefixes that their own two sizes ask for.
+   two classes meet only by shingles within the prefixes that their own two sizes ask for, and
+   only if a bitmap of each leaves room for that overlap.
    Pairs of classes in different components that meet are verified.
 
 Every filter is exact, so no link between different components is lost; pairs inside
@@ -40,6 +41,7 @@ SHINGLE = 5
 SHARE = (75, 100)
 _EXTRA = 16  # the hash prefix is extended by a sixteenth of the set
 _RARE = 1024  # shingles of more classes count as frequent: so a single key meets half a million pairs at most
+_ODD = ("odd0", "odd1", "odd2", "odd3")
 _FEW = 50  # rounds of leaders end when fewer than one of so many checked pairs is a link
 _CHUNK = 1 << 21
 _OFTEN = 8
@@ -223,6 +225,19 @@ def _postings(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "token long, part long")
 
 
+def _odd_cells(sets: list[np.ndarray]) -> list[pa.Array]:
+    """256 bits of each set, as four columns: which of 256 cells hold an odd number of its shingles.
+
+    A cell in which two sets differ holds a shingle of only one of them, so the number of such cells is never more
+    than that of the shingles that they do not share.
+    """
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    odd = np.bincount(owner * 256 + (flat >> _U(56)).astype(np.int64), minlength=len(sets) * 256) & 1
+    longs = np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64)
+    return [pa.array(np.ascontiguousarray(longs[:, k])) for k in range(4)]
+
+
 def _whole_sets(docs: DataFrame, id_col: str, text_col: str, wanted: np.ndarray) -> DataFrame:
     """(sig, n, tokens) of the rows whose id's bit is set."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -235,9 +250,10 @@ def _whole_sets(docs: DataFrame, id_col: str, text_col: str, wanted: np.ndarray)
             for a, b in _ranges(texts):
                 kept = [s for s in shingle_sets(texts[a:b]) if len(s) > 2]
                 if kept:
-                    yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in kept], pa.int64()), pa.array([len(s) for s in kept], pa.int64()), _longs(kept)], names=["sig", "n", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in kept], pa.int64()), pa.array([len(s) for s in kept], pa.int64()), _longs(kept), *_odd_cells(kept)], names=["sig", "n", "tokens", *_ODD])
 
-    return docs.select(F.xxhash64(id_col).alias("h"), text_col).mapInArrow(run, "sig long, n long, tokens array<long>")
+    odd = ", ".join(f"{c} long" for c in _ODD)
+    return docs.select(F.xxhash64(id_col).alias("h"), text_col).mapInArrow(run, f"sig long, n long, tokens array<long>, {odd}")
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -332,21 +348,24 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # 4: single rare shingles and pairs of frequent ones, where components still meet.
     now = materialize(_open(prefix, labels), "open")
     wide = now.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
-    classed = now.join(wide, "token")
+    odd = sets.groupBy("sig").agg(*[F.first(c).alias(c) for c in _ODD])
+    classed = now.join(wide, "token").join(odd, "sig")
     cell = F.struct("pos", "token")
-    rare = classed.where(F.col("m") <= _RARE).select("sig", "n", "comp", "pos", "token", F.lit(None).cast("long").alias("next"))
-    lists = classed.where(F.col("m") > _RARE).groupBy("sig", "n", "comp").agg(F.sort_array(F.collect_list(cell)).alias("all"))
-    heads = lists.select("sig", "n", "comp", "all", F.posexplode("all").alias("at", "head"))
-    tails = heads.select("sig", "n", "comp", "head", F.explode(F.slice("all", F.col("at") + 2, F.greatest(F.size("all") - F.col("at") - 1, F.lit(0)))).alias("tail"))
-    combos = tails.select("sig", "n", "comp", "tail.pos", F.col("head.token").alias("token"), F.col("tail.token").alias("next"))
+    rare = classed.where(F.col("m") <= _RARE).select("sig", "n", "comp", *_ODD, "pos", "token", F.lit(None).cast("long").alias("next"))
+    lists = classed.where(F.col("m") > _RARE).groupBy("sig", "n", "comp", *_ODD).agg(F.sort_array(F.collect_list(cell)).alias("all"))
+    heads = lists.select("sig", "n", "comp", *_ODD, "all", F.posexplode("all").alias("at", "head"))
+    tails = heads.select("sig", "n", "comp", *_ODD, "head", F.explode(F.slice("all", F.col("at") + 2, F.greatest(F.size("all") - F.col("at") - 1, F.lit(0)))).alias("tail"))
+    combos = tails.select("sig", "n", "comp", *_ODD, "tail.pos", F.col("head.token").alias("token"), F.col("tail.token").alias("next"))
     index = rare.unionByName(combos)
     seek = index.where(F.col("pos") < F.col("n") - _overlap(F.col("n"), F.col("n")) + 2)
-    other = index.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("pos").alias("pb"), F.col("token").alias("tb"), F.col("next").alias("xb"))
+    other = index.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("pos").alias("pb"), F.col("token").alias("tb"), F.col("next").alias("xb"), *[F.col(c).alias(f"b{c}") for c in _ODD])
     must = _overlap(F.col("n"), F.col("nb"))
     meet = (F.col("token") == F.col("tb")) & F.col("next").eqNullSafe(F.col("xb")) & (F.col("comp") != F.col("cb"))
     smaller = (F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("sig") < F.col("b")))
     within = (F.col("pos") < F.col("n") - must + 2) & (F.col("pb") < F.col("nb") - must + 2)
-    pairs = seek.join(other, meet & smaller & _near("n", "nb") & within).select(F.col("sig").alias("a"), "b").distinct()
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"b{c}"))) for c in _ODD[1:]), F.bit_count(F.col(_ODD[0]).bitwiseXOR(F.col(f"b{_ODD[0]}"))))
+    room = apart <= F.col("n") + F.col("nb") - 2 * must
+    pairs = seek.join(other, meet & smaller & _near("n", "nb") & within & room).select(F.col("sig").alias("a"), "b").distinct()
     labels = components(links.union(_verify(materialize(pairs, "pairs"), sets)))
 
     whole = classes.join(labels, "sig", "left")
