@@ -252,6 +252,12 @@ def brute_spans(text):
     return out
 
 
+def test_pii_long_runs():
+    for text, n in (("1" * 500_000, 0), ("x" * 500_000 + "1", 0), ("0" * 6000 + ".1.2.3", 1), ("y" * 500_000, 0)):
+        spans = pii.base_spans(text)
+        assert len(spans) == n and len(pii.mentions(text, spans)) <= 1
+
+
 def test_pii(spark, odd, docs):
     rng = random.Random(2)
     for _ in range(20_000):
