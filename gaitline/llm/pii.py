@@ -3,9 +3,9 @@
 Seeds are matches of four fixed forms (e-mail, IP address, payment card, phone). The
 words around seeds become lexical patterns (kind, side, words). Spark holds a bipartite
 graph of patterns and instances (identifier-like tokens, by their surface) and scores it
-in rounds: a pattern is as sure as the instances it meets, an instance as sure as the
-patterns that meet it. Tokens that no form knows become personal data when a sure
-pattern stands beside them. The seeds' spans always stay.
+in rounds until nothing changes: a pattern is as sure as the known instances it meets, an
+instance as sure as the patterns that meet it. Tokens that no form knows become personal
+data when patterns make them sure. The seeds' spans always stay.
 """
 
 from __future__ import annotations
@@ -120,49 +120,57 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def score_graph(found: DataFrame, rounds: int = 2, least_seeds: int = 3, sure: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Patterns (kind, side, words, confidence) and instances (surface, kind, confidence) of mention rows.
+def score_graph(found: DataFrame, rounds: int | None = None, least_seeds: int = 3, sure: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Patterns (kind, side, words, confidence) that are sure and instances (surface, kind, confidence) of mention rows.
 
     An edge joins a surface to each pattern beside it: the two words on the left, or the
-    word on the left with the one on the right. A pattern of a kind has a confidence of
-    the mean of its surfaces' (seeds of the kind 1, of another kind 0), counts at least
-    ``least_seeds`` different seeds of its kind, and is sure at ``sure``. An instance has 1
-    minus the product of its patterns' doubts. Surfaces count once for each pattern,
-    so copies of a document add nothing. Edges are summed before each shuffle.
+    word on the left with the one on the right. A pattern of a kind has at least
+    ``least_seeds`` different seeds of that kind; its confidence is the share of the kind
+    among its known surfaces. Known are the seeds and the instances found so far: a surface
+    of no kind yet has no vote. An instance has 1 minus the product of the doubts of all
+    its patterns, sure or not, and is found, for good, when its surest kind gets to
+    ``sure``. Rounds go on until one finds nothing (``rounds`` may bound them).
+    Surfaces count once for each pattern, so copies of a document add nothing. Edges are
+    summed before each shuffle.
     """
     edge = F.explode(F.array(
         F.struct(F.lit("left").alias("side"), F.concat_ws(" ", "left2", "left1").alias("words"), (F.col("left2") != "").alias("full")),
         F.struct(F.lit("around").alias("side"), F.concat_ws(" _ ", "left1", "right1").alias("words"), ((F.col("left1") != "") & (F.col("right1") != "")).alias("full")),
     ))
+    pattern = ["side", "words", "pkind"]
     edges = found.select("surface", "kind", edge.alias("e")).where("e.full").groupBy("surface", "e.side", "e.words").agg(F.max("kind").alias("seed"))
-    # Only patterns that at least least_seeds different seeds of one kind support can ever be sure.
-    strong = edges.where("seed is not null").groupBy("side", "words", F.col("seed").alias("pkind")).agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= least_seeds)
-    graph = materialize(edges.join(strong.drop("seeds"), ["side", "words"]), "pii-graph")
-    known = F.when(F.col("seed") == F.col("pkind"), 1.0).when(F.col("seed").isNotNull(), 0.0)
-    belief = None
-    for _ in range(max(1, rounds)):
-        scored = graph.withColumn("c", F.coalesce(known, F.lit(0.0))) if belief is None else graph.join(belief, ["surface", "pkind"], "left").withColumn("c", F.coalesce(known, "confidence", F.lit(0.0)))
-        patterns = scored.groupBy("side", "words", "pkind").agg(F.avg("c").alias("confidence"))
-        sure_ones = patterns.where(F.col("confidence") >= sure)
-        belief = (
-            graph.where("seed is null").join(sure_ones, ["side", "words", "pkind"])
-            .groupBy("surface", "pkind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("confidence"))
-        )
-        belief = materialize(belief, "pii-belief")
-    return sure_ones.withColumnRenamed("pkind", "kind"), belief.withColumnRenamed("pkind", "kind")
-
-
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, least_seeds: int = 3, sure: float = 0.8) -> DataFrame:
+    # Only patterns that at least least_seeds different seeds of one kind support count.
+    of_kind = edges.where("seed is not null").groupBy("side", "words", F.col("seed").alias("pkind")).agg(F.count(F.lit(1)).alias("yes"))
+    every = of_kind.groupBy("side", "words").agg(F.sum("yes").alias("all"))
+    strong = materialize(of_kind.where(F.col("yes") >= least_seeds).join(every, ["side", "words"]), "pii-patterns")
+    graph = materialize(edges.where("seed is null").drop("seed").join(strong.select(*pattern), ["side", "words"]), "pii-graph")
+    known, patterns, done = None, strong.select(*pattern, (F.col("yes") / F.col("all")).alias("confidence")), 0
+    while True:
+        left = graph if known is None else graph.join(known.select("surface"), "surface", "left_anti")
+        doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
+        belief = left.join(patterns, pattern).groupBy("surface", "pkind").agg(F.round(1 - F.exp(doubt), 9).alias("confidence"))
+        best = belief.groupBy("surface").agg(F.max(F.struct("confidence", F.col("pkind").alias("kind"))).alias("b")).where(F.col("b.confidence") >= sure)
+        new = materialize(best.select("surface", "b.kind", "b.confidence"), "pii-belief")
+        known, done, ended = (new if known is None else known.unionByName(new)), done + 1, new.isEmpty()
+        if ended or done == rounds:
+            break
+        votes = graph.join(known.select("surface", "kind"), "surface").groupBy(*pattern).agg(F.count_if(F.col("kind") == F.col("pkind")).alias("more"), F.count(F.lit(1)).alias("voters"))
+        share = (F.col("yes") + F.coalesce("more", F.lit(0))) / (F.col("all") + F.coalesce("voters", F.lit(0)))
+        patterns = strong.join(votes, pattern, "left").select(*pattern, share.alias("confidence"))
+    return patterns.where(F.col("confidence") >= sure).withColumnRenamed("pkind", "kind"), known
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None, least_seeds: int = 3, sure: float = 0.8) -> DataFrame:
     """id, ``text_key``, ``base`` and ``spans`` (base and discovered ones, by kind as listed, then start), one row per row of ``docs``.
 
-    A missing text counts as empty: no spans. A discovered span has the kind of its surest
-    pattern, and never overlaps a base span. Rows that repeat give equal rows; other
+    A missing text counts as empty: no spans. A discovered span has the kind that its
+    patterns make surest, and never overlaps a base span. Rows that repeat give equal rows; other
     columns are not read. Only mentions, never whole texts, are shuffled.
     """
     scanned = materialize(scan(docs, id_col, text_col), "pii-scan")
     found = scanned.where(F.size("mentions") > 0).select(id_col, "text_key", F.explode("mentions").alias("m")).select(id_col, "text_key", "m.*")
     patterns, belief = score_graph(found, rounds, least_seeds, sure)
-    best = belief.where(F.col("confidence") >= sure).groupBy("surface").agg(F.max(F.struct("confidence", "kind")).alias("b")).select(F.col("surface").alias("__surface"), F.col("b.kind").alias("found_kind"))
+    best = belief.select(F.col("surface").alias("__surface"), F.col("kind").alias("found_kind"))
     extra = (
         found.where("kind is null").join(best, F.col("surface") == F.col("__surface"))
         .groupBy(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"))
