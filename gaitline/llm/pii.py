@@ -10,12 +10,13 @@ data when patterns make them sure. The seeds' spans always stay.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile("[0-9]")
+_WORD = re.compile(r"\S+")
+# Digit groups joined by blanks, dots, hyphens or brackets; all but the last group of such a run.
+_RUN = re.compile(r"(?<![\w@])\(?[0-9]++(?:[\x20()\[\].-]++[0-9]++)*+\)?+")
+_GROUPS = re.compile(r"\(?[0-9]+(?:[\x20()\[\].-]+[0-9]+)*(?=[\x20()\[\].-]+[0-9]+\)?$)|")
 _TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
@@ -71,32 +76,70 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _words_before(text: str, at: int) -> list[str]:
-    """The two words before a place, nearest first; looks back 80 characters at most (words longer than that don't count as context)."""
-    return text[max(0, at - 80) : at].split()[:-3:-1]
+def _candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Places off the spans that may be identifiers: tokens with a digit or @, and digit groups joined by blanks, dots, hyphens or brackets."""
+    covered, out = sorted((a, b) for _, a, b in spans), {}
+    j = 0
+    for m in _TOKEN.finditer(text):
+        while j < len(covered) and covered[j][1] <= m.start():
+            j += 1
+        if j == len(covered) or covered[j][0] >= m.end():
+            a, b = m.span()
+            while b > a and not text[b - 1].isalnum():
+                b -= 1
+            while a < b and not text[a].isalnum():
+                a += 1
+            if a < b:
+                out[a, b] = None
+    at = 0
+    for begin, end in [*covered, (len(text), len(text))]:
+        for m in _RUN.finditer(text, at, begin) if at < begin else ():
+            a, b = m.span()
+            if b < len(text) and (text[b].isalnum() or text[b] in "_@"):  # the last group begins a longer token
+                b = a + _GROUPS.match(m.group()).end()
+            if a < b and _DIGIT.search(text, a, b):
+                if text[a] == "(" and ")" not in text[a:b]:
+                    a += 1
+                out[a, b] = None
+        at = max(at, end)
+    return list(out)
 
 
 def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Seeds, and the other tokens with a digit or @, with the words around them in lower case."""
-    out, covered = [], sorted((a, b) for _, a, b in spans)
+    """Seeds, and candidates for discovery, with the whole words around them in lower case.
+
+    A word also ends where a seed begins or ends, and what is joined to a mention without
+    a blank where another candidate does: so texts without blanks take linear time.
+    """
     found = [(k, a, b) for k, a, b in spans]
     if _DIGIT.search(text) or "@" in text:
-        j = 0
-        for m in _TOKEN.finditer(text):
-            while j < len(covered) and covered[j][1] <= m.start():
-                j += 1
-            if j == len(covered) or covered[j][0] >= m.end():
-                a, b = m.span()
-                while b > a and not text[b - 1].isalnum():
-                    b -= 1
-                while a < b and not text[a].isalnum():
-                    a += 1
-                if b - a >= 6:
-                    found.append((None, a, b))
+        found += [(None, a, b) for a, b in _candidates(text, spans)]
+    every, seeds = (sorted({x for _, a, b in rows for x in (a, b)}) for rows in (found, spans))
+
+    def before(at: int) -> tuple[int, int]:
+        edges = every
+        while at and text[at - 1].isspace():
+            at, edges = at - 1, seeds
+        k = bisect.bisect_left(edges, at)
+        begin, least = at, edges[k - 1] if k else 0
+        while begin > least and not text[begin - 1].isspace():
+            begin -= 1
+        return begin, at
+
+    def after(at: int) -> tuple[int, int]:
+        edges = every if at < len(text) and not text[at].isspace() else seeds
+        while at < len(text) and text[at].isspace():
+            at += 1
+        k = bisect.bisect_right(edges, at)
+        m = _WORD.match(text, at, edges[k] if k < len(edges) else len(text))
+        return at, m.end() if m else at
+
+    out = []
     for kind, a, b in found:
-        left, right = _words_before(text, a), text[b : b + 80].split()[:1]
-        left = [w.lower() for w in left] + ["", ""]
-        out.append({"kind": kind, "surface": text[a:b], "start": a, "end": b, "left1": left[0], "left2": left[1], "right1": (right[0].lower() if right else "")})
+        left1, right1 = before(a), after(b)
+        left2 = before(left1[0])
+        words = [text[x:y].lower() for x, y in (left1, left2, right1)]
+        out.append({"kind": kind, "surface": text[a:b], "start": a, "end": b, "left1": words[0], "left2": words[1], "right1": words[2]})
     return out
 
 
@@ -171,10 +214,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     found = scanned.where(F.size("mentions") > 0).select(id_col, "text_key", F.explode("mentions").alias("m")).select(id_col, "text_key", "m.*")
     patterns, belief = score_graph(found, rounds, least_seeds, sure)
     best = belief.select(F.col("surface").alias("__surface"), F.col("kind").alias("found_kind"))
+    # Of nested places the widest stays: a run of digit groups takes the place of the tokens in it.
+    wider = Window.partitionBy("__id", "__key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     extra = (
         found.where("kind is null").join(best, F.col("surface") == F.col("__surface"))
-        .groupBy(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"))
-        .agg(F.collect_set(F.struct(F.col("found_kind").alias("kind"), "start", "end")).alias("extra"))
+        .select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"), F.col("found_kind").alias("kind"), "start", "end").distinct()
+        .withColumn("reach", F.max("end").over(wider)).where("reach is null or reach < end")
+        .groupBy("__id", "__key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("extra"))
     )
     joined = scanned.drop("mentions").join(extra, scanned[id_col].eqNullSafe(F.col("__id")) & (scanned["text_key"] == F.col("__key")), "left")
     both = F.concat("base", F.coalesce("extra", F.array().cast(SPAN)))

@@ -51,3 +51,22 @@ def test_graph_equals_brute_force(spark):
     _, belief = pii.score_graph(spark.createDataFrame(rows, MENTION))
     assert {r.surface: r.kind for r in belief.collect()} == want
     assert hops >= 5 and {"u48", "n39", "both"} <= set(want)
+
+
+def test_candidates_and_contexts(spark):
+    numbers = ["555 123 4567", "(743) 555-3824", "4111 1111 1111 1112", "4711", "12.34-56"]
+    for form in ("call {} now", "call" + " " * 100 + "{}" + "\n" * 100 + "now"):
+        for number in numbers:
+            text = form.format(number)
+            got = {m["surface"]: (m["left1"], m["right1"]) for m in pii.mentions(text, pii.base_spans(text))}
+            assert got[number] == ("call", "now")
+    long = pii.mentions("x" * 300 + " a@b.cd " + "y" * 300, [("email", 301, 307)])
+    assert (long[0]["left1"], long[0]["right1"]) == ("x" * 300, "y" * 300)
+    assert [m["surface"] for m in pii.mentions("on 12 34th a", [])] == ["12", "34th"]
+    taught = [(i, f"please call me at +1 (743) 555-38{i}0 today") for i in range(6)] + [(10 + i, f"please call me at {n} today") for i, n in enumerate(numbers)]
+    df = spark.createDataFrame(taught, "doc_id long, text string")
+    assert {r.text for r in pii.redact(df).collect()} == {"please call me at <PHONE> today"}
+    assert all(len(r.spans) == 1 for r in pii.find(df).collect())
+    for text in ("1," * 100_000, "a@b.c," * 30_000, "1 " * 100_000 + "x"):  # linear: minutes otherwise
+        rows = pii.mentions(text, pii.base_spans(text))
+        assert sum(len(m["left1"]) + len(m["left2"]) + len(m["right1"]) for m in rows) < 5 * len(text)
