@@ -5,7 +5,7 @@ Every stage gets the documents that the one before has kept, as a written table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaitline.llm import jaccard, mixing, pieces, pii, queries, toxicity
@@ -34,8 +34,22 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(docs)
 
 
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """``docs``, a written and reread table, with ``position``: 0.. in the order of writing, which a scan of several files loses.
+
+    Files stand by the number of the task and of the file that wrote them; their sizes are one row per file.
+    """
+    name = F.col("__file.file_name")
+    rows = docs.select("*", F.col("_metadata").alias("__file")).select(*docs.columns, F.regexp_extract(name, "^part-([0-9]+)", 1).cast("int").alias("__task"), F.regexp_extract(name, "-c([0-9]+)", 1).cast("int").alias("__nth"), F.col("__file.row_index").alias("__row"))
+    sizes = rows.groupBy("__task", "__nth").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__task", "__nth").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__task", "__nth", F.coalesce(before, F.lit(0)).alias("__start"))
+    return rows.join(F.broadcast(starts), ["__task", "__nth"]).select(*docs.columns, (F.col("__start") + F.col("__row")).alias("position"))
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(docs, queries.piece_model())
+    """The token ids of every copy, with its ``position`` in the training order that the mix has written."""
+    return pieces.encode_documents(in_written_order(docs), queries.piece_model(), with_ids=True, keep=("position",))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("personal_data", mask_personal_data), ("mixing", mix_sources), ("pieces", encode_pieces)]
@@ -44,8 +58,15 @@ STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("persona
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def training_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that the last stage gives: doc_id, n_tokens, ids_sha256, decoded_sha256, ids and position."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered query: counts and hashes of ``training_tokens``, in training order."""
+    digests = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    return training_tokens(spark, sf_dir).select(*digests, "position").orderBy("position").select(*digests)

@@ -247,15 +247,15 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per row of ``docs``: its id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked for, ``ids``.
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: its id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, if asked for ``ids``, and the columns of ``keep``.
 
     A missing text counts as empty: its only id is the end mark and it decodes to "".
     Rows that repeat give equal rows, an empty table an empty one; other columns are
     not read, whatever their names. No shuffle; memory is bounded by a batch of texts.
     """
     key = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {key}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    schema = f"`{id_col}` {key}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(model_path)
@@ -276,6 +276,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 if with_ids:
                     arrays.append(pa.array(kept, pa.list_(pa.int32())))
                     names.append("ids")
+                arrays += [batch.column(2 + k).slice(a, b - a) for k in range(len(keep))]
+                names += keep
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, *keep).mapInArrow(run, schema)
