@@ -228,7 +228,7 @@ def match_bouts(pairs: DataFrame, keys: tuple[str, ...] = ("stem",)) -> DataFram
     """A largest one-to-one matching of eligible pairs, in each group of ``keys``.
 
     Pairs without a rival on either side match by themselves in the JVM; only contested
-    ones reach the grouped Python function.
+    ones reach the grouped Python function, one chain of overlapping bouts at a time.
     """
     p, t = Window.partitionBy(*keys, "pred_start"), Window.partitionBy(*keys, "true_start")
     counted = pairs.select("*", F.count(F.lit(1)).over(p).alias("np"), F.count(F.lit(1)).over(t).alias("nt"))
@@ -241,7 +241,12 @@ def match_bouts(pairs: DataFrame, keys: tuple[str, ...] = ("stem",)) -> DataFram
         chosen = [got.get(p) == t for p, t in zip(pdf["pred_start"].tolist(), pdf["true_start"].tolist())]
         return pdf.loc[chosen, kept]
 
-    contested = counted.where("np > 1 or nt > 1").select(*kept, "overlap").groupBy(*keys).applyInPandas(solve, schema)
+    begin = F.least("pred_start", "true_start")
+    earlier = Window.partitionBy(*keys).orderBy("__begin").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(*keys).orderBy("__begin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rivals = counted.where("np > 1 or nt > 1").select(*kept, "overlap", begin.alias("__begin"))
+    apart = rivals.withColumn("__apart", F.coalesce(F.col("__begin") > F.max(F.greatest("pred_end", "true_end")).over(earlier), F.lit(False)).cast("long"))
+    contested = apart.withColumn("__piece", F.sum("__apart").over(so_far)).drop("__begin", "__apart").groupBy(*keys, "__piece").applyInPandas(solve, schema)
     return alone.unionByName(contested)
 
 
