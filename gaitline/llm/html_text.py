@@ -31,17 +31,23 @@ _WORDS = re.compile(r"[a-z]+")
 _ENDS = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW}
 
 
-def _noisy(attributes: str) -> bool:
-    return any(not NOISE.isdisjoint(_WORDS.findall("".join(m.groups(default="")).lower())) for m in _HINT.finditer(attributes))
+def _noisy(attributes: str, inside: bool) -> bool:
+    """Whether a name of class, id or role marks what isn't the article; has-, no- and with- tell of a wrapper, header words within an article of its title."""
+    names = (n for m in _HINT.finditer(attributes) for n in "".join(m.groups(default="")).lower().split())
+    words = {w for n in names if not n.startswith(("has-", "no-", "with-", "has_", "no_", "with_")) for w in _WORDS.findall(n)} & NOISE
+    return bool(words - {"header", "masthead"} if inside else words)
 
 
-def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines (text, characters inside links, whether inside the marked article) of a page; whether it marks one."""
+def _lines(page: str, exempt: set[int]) -> tuple[list[tuple[str, int, bool]], bool, dict[int, int]]:
+    """Lines (text, characters inside links, whether inside the marked article) of a page; whether it marks one; characters skipped by the words of each block, but those of ``exempt``, by its place."""
     lines: list[tuple[str, int, bool]] = []
     text: list[str] = []
     linked = links = article = 0
     marked = False
-    skip, depth = "", 0
+    skip, depth, place = "", 0, -1
+    opened: dict[str, int] = {}
+    inner: dict[str, int] = {}
+    hidden: dict[int, int] = {}
     at, size = 0, len(page)
 
     def flush() -> None:
@@ -61,6 +67,8 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         at = m.end()
         name = m.group(2)
         if name is None:
+            if skip and place >= 0:
+                hidden[place] = hidden.get(place, 0) + len(" ".join((m.group(4) or "").split()))
             if m.group(4) and not skip:
                 text.append(m.group(4))
                 if links:
@@ -68,7 +76,7 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             continue
         name, closing = name.lower(), bool(m.group(1))
         if skip:
-            if name in ("article", "main") and not closing:
+            if name in ("article", "main", "body") and not closing or closing and name != skip and opened.get(name) and not inner.get(name):
                 skip = ""  # what was skipped was never closed
             else:
                 if name == skip:
@@ -83,6 +91,8 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 elif skip in LOOSE and closing and name in BLOCK and name not in LOOSE:
                     skip = ""
                 else:
+                    if name in BLOCK and name not in LOOSE and name not in VOID:
+                        inner[name] = max(0, inner.get(name, 0) + (-1 if closing else 1))
                     if name in RAW and not closing and (end := _ENDS[name].search(page, at)):
                         at = end.end()
                     continue
@@ -91,6 +101,8 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         elif name == "br":
             text.append(" ")
         if closing:
+            if opened.get(name):
+                opened[name] -= 1
             if name == "a":
                 links = 0
             elif name in ("article", "main"):
@@ -103,13 +115,31 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         elif name in RAW:
             end = _ENDS[name].search(page, at)
             at = end.end() if end else size
-        elif name not in VOID and not m.group(3).endswith("/") and name not in ("html", "body") and ((name in SKIPPED and not (name == "header" and article)) or (name in BLOCK | {"span", "a"} and _noisy(m.group(3)))):
+        elif name not in VOID and not m.group(3).endswith("/") and name not in ("html", "body") and ((named := name in SKIPPED and not (name == "header" and article)) or (m.start() not in exempt and name in BLOCK | {"span", "a"} and not (name == "header" and article) and _noisy(m.group(3), article > 0))):
             flush()
             if not article:
                 lines.append(("", 0, False))
-            skip, depth = name, 1
+            skip, depth, inner, place = name, 1, {}, -1 if named else m.start()
+            continue
+        if name in BLOCK and name not in LOOSE and name not in VOID:
+            opened[name] = opened.get(name, 0) + 1
     flush()
-    return lines, marked
+    return lines, marked, hidden
+
+
+def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
+    """Lines (text, characters inside links, whether inside the marked article) of a page; whether it marks one.
+
+    Words of class, id and role are weak evidence: a block that holds most of the page's text isn't skipped for them.
+    """
+    exempt: set[int] = set()
+    while True:
+        lines, marked, hidden = _lines(page, exempt)
+        total = sum(len(t) for t, _, _ in lines) + sum(hidden.values())
+        most = {at for at, n in hidden.items() if 2 * n > total}
+        if not most:
+            return lines, marked
+        exempt |= most
 
 
 def extract(page: str | None, width: int = 3, surge: int = 86) -> str:
