@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,4 +60,28 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def word_count(text) -> F.Column:
     """Number of words of a string column; a missing text has none."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(column(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def column(name: str) -> F.Column:
+    """The column of just this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], at: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts in column ``at`` of a slice have ``limit`` bytes at most, or are one row.
+
+    Spark's batches hold tens of megabytes; only a slice is made into Python objects at a time.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = base = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin, base = end, int(ends[end - 1])
+
+
+def texts_of(column: pa.Array) -> list[str]:
+    """The texts of an Arrow column; a missing one is empty."""
+    return [t or "" for t in column.to_pylist()]
