@@ -105,6 +105,61 @@ def score_windows(windows: DataFrame, scorer: Callable[[list], list], batch: int
     return windows.select("stem", "start", "x").mapInPandas(run, "stem string, start int, probs array<double>")
 
 
+def score_members(windows: DataFrame, scorers: dict[int, Callable[[list], list]], seen: DataFrame, batch: int = 256) -> DataFrame:
+    """(member, stem, start, probs): every member of an ensemble scores the windows of the videos that it has not seen.
+
+    Windows are recused before they are copied to Python; a task scores its rows of each member with that member's scorer.
+    """
+    members = windows.sparkSession.createDataFrame([(m,) for m in scorers], "member int")
+    kept = recuse(windows.select("stem", "start", "x"), members, seen)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for member, own in pdf.groupby("member", sort=False):
+                for a in range(0, len(own), batch):
+                    part = own.iloc[a : a + batch]
+                    x = [[s["features"] for s in w] for w in part["x"]]
+                    probs = [[float(p) for p in row] for row in scorers[int(member)](x)]
+                    if [len(p) for p in probs] != [len(w) for w in x]:
+                        raise ValueError("a scorer must give one probability for each frame of each window")
+                    yield pd.DataFrame({"member": part["member"], "stem": part["stem"], "start": part["start"], "probs": probs})
+
+    return kept.select("member", "stem", "start", "x").mapInPandas(run, "member int, stem string, start int, probs array<double>")
+
+
+def scored_frames(scored: DataFrame) -> DataFrame:
+    """Window rows (…, frame, prob) of scored windows, ready to be reconstructed."""
+    rest = [c for c in scored.columns if c != "probs"]
+    return scored.select(*rest, F.posexplode("probs").alias("pos", "prob")).withColumn("frame", F.col("start") + F.col("pos"))
+
+
+def restored_windows(windows: DataFrame, recorded: DataFrame, size: int, width: int) -> DataFrame:
+    """For each stem, the windows recorded and those made again that have the right shape; ``valid`` where they are as many."""
+    whole = windows.where((F.size("x") == size) & F.forall("x", lambda s: F.size(s["features"]) == width)).groupBy("stem").agg(F.count(F.lit(1)).alias("restored"))
+    return recorded.join(whole, "stem", "left").fillna(0, subset=["restored"]).withColumn("valid", F.col("recorded") == F.col("restored"))
+
+
+def fit_baseline(frames: DataFrame, value: str = "prob", truth: str = "truth", reach: int = 2, alpha: float = 0.7, fitted: Column | None = None):
+    """A logistic model of a frame's value and its neighbours', with weight ``alpha`` on positives; ``fitted`` marks the rows to fit on.
+
+    Returns a function from frames to (stem, frame, truth, prob).
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    w = Window.partitionBy("stem").orderBy("frame")
+    near = [F.coalesce(F.lag(value, k).over(w) if k > 0 else F.lead(value, -k).over(w), F.col(value)).alias(f"c{k + reach}") for k in range(-reach, reach + 1)]
+    assembler = VectorAssembler(inputCols=[f"c{k}" for k in range(2 * reach + 1)], outputCol="features")
+
+    def ready(df: DataFrame) -> DataFrame:
+        rows = df.select("stem", "frame", F.col(truth).alias("truth"), *near, (F.lit(True) if fitted is None else fitted).alias("fitted"))
+        return assembler.transform(rows.withColumn("weight", F.when(F.col("truth") == 1, alpha).otherwise(1 - alpha)))
+
+    model = LogisticRegression(labelCol="truth", weightCol="weight", maxIter=20).fit(ready(frames).where("fitted"))
+    return lambda df: model.transform(ready(df)).select("stem", "frame", "truth", vector_to_array("probability")[1].alias("prob"))
+
+
 def recuse(windows: DataFrame, members: DataFrame, seen: DataFrame) -> DataFrame:
     """Windows times members, without the stems that a member has seen; before any scoring.
 
@@ -138,16 +193,35 @@ def bouts(frames: DataFrame, positive: Column, min_length: int = 16, max_gap: in
     Rows run by position in the table, so dropped frames close up. An island whose gap to
     the end is allowed ends at the last row. Gives keys, start_pos, end_pos, start_frame, end_frame, n_positive.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    whole = Window.partitionBy(*keys)
-    rows = frames.select(*keys, F.col(order).alias("f"), (F.row_number().over(w) - 1).alias("pos"), positive.alias("hit")).select("*", F.max("pos").over(whole).alias("last"), F.max("f").over(whole).alias("last_f"))
-    by_pos = Window.partitionBy(*keys).orderBy("pos")
-    hits = rows.where("hit").withColumn("new", (F.coalesce(F.col("pos") - F.lag("pos").over(by_pos) - 1, F.lit(max_gap + 1)) > max_gap).cast("int"))
-    islands = hits.withColumn("bout", F.sum("new").over(by_pos)).groupBy(*keys, "bout").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end"), F.min("f").alias("start_frame"), F.max("f").alias("end_f"), F.count(F.lit(1)).alias("n_positive"), F.max("last").alias("last"), F.max("last_f").alias("last_f"))
+    return _islands(_positions(frames, keys, order, positive.alias("hit")).where("hit").drop("hit"), min_length, max_gap, keys)
+
+
+def _positions(frames: DataFrame, keys: tuple[str, ...], order: str, *more: Column) -> DataFrame:
+    """keys, f (the row's place in ``order``), pos, and the last of both."""
+    w, whole = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
+    rows = frames.select(*keys, F.col(order).alias("f"), (F.row_number().over(w) - 1).alias("pos"), *more)
+    return rows.select("*", F.max("pos").over(whole).alias("last"), F.max("f").over(whole).alias("last_f"))
+
+
+def _islands(hits: DataFrame, min_length: int, max_gap: int, keys: tuple[str, ...]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("f")
+    hits = hits.withColumn("new", (F.coalesce(F.col("pos") - F.lag("pos").over(w) - 1, F.lit(max_gap + 1)) > max_gap).cast("int"))
+    islands = hits.withColumn("bout", F.sum("new").over(w)).groupBy(*keys, "bout").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end"), F.min("f").alias("start_frame"), F.max("f").alias("end_f"), F.count(F.lit(1)).alias("n_positive"), F.max("last").alias("last"), F.max("last_f").alias("last_f"))
     to_end = F.col("last") - F.col("end") <= max_gap
     return islands.where(F.col("n_positive") >= min_length).select(*keys, F.col("start_pos").cast("int"), F.when(to_end, F.col("last")).otherwise(F.col("end")).cast("int").alias("end_pos"), F.col("start_frame").cast("int"), F.when(to_end, F.col("last_f")).otherwise(F.col("end_f")).cast("int").alias("end_frame"), "n_positive")
 
 
+def bouts_at(frames: DataFrame, thresholds: DataFrame, min_length: int = 16, max_gap: int = 3, keys: tuple[str, ...] = ("stem",), order: str = "frame", prob: str = "prob") -> DataFrame:
+    """The bouts at every threshold of a grid of a few dozen: keys, threshold and what ``bouts`` gives.
+
+    Rows are numbered once; only those that reach a threshold are copied for it.
+    """
+    grid = F.broadcast(thresholds.agg(F.array_sort(F.collect_set("threshold")).alias("grid")))
+    rows = _positions(frames, keys, order, F.col(prob).alias("p")).crossJoin(grid)
+    hits = rows.select(*keys, "f", "pos", "last", "last_f", F.explode(F.filter("grid", lambda t: F.col("p") >= t)).alias("threshold"))
+    return _islands(hits, min_length, max_gap, (*keys, "threshold"))
+
+
 def bout_table(frames: DataFrame, positive: Column, min_length: int = 16, max_gap: int = 3, keys: tuple[str, ...] = ("stem",)) -> DataFrame:
     """A10: bouts with number of frames, mean and largest probability, frames in gaps included.
 
@@ -180,16 +254,20 @@ def binary_metrics(frames: DataFrame, by: list[str], truth: str = "truth", pred:
     t, p = F.col(truth), F.col(pred)
     cells = [F.count_if((t == a) & (p == b)).alias(n) for n, a, b in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))]
     counts = frames.groupBy(*by).agg(*cells) if by else frames.agg(*cells)
+    return with_accuracy(counts)
+
+
+def with_accuracy(counts: DataFrame) -> DataFrame:
     return with_rates(counts).withColumn("accuracy", (F.col("tp") + F.col("tn")) / F.greatest(F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"), F.lit(1)))
 
 
-def eligible_pairs(pred: DataFrame, truth: DataFrame, overlap: float = 0.2, keys: tuple[str, ...] = ("stem",), bin_frames: int = 4096) -> DataFrame:
+def eligible_pairs(pred: DataFrame, truth: DataFrame, overlap: float = 0.2, keys: tuple[str, ...] = ("stem",), bin_frames: int = 4096, pred_keys: tuple[str, ...] | None = None) -> DataFrame:
     """Pairs (pred_start, pred_end, true_start, true_end, overlap) that share at least ``overlap`` of the prediction.
 
     Both sides are cut into bins of frames, so the join stays an equi-join; a pair counts
-    in the first bin that both touch.
+    in the first bin that both touch. Predictions may have more keys than they share with truths.
     """
-    cut = lambda df, n: df.select(*keys, F.col("start_frame").alias(f"{n}_start"), F.col("end_frame").alias(f"{n}_end"), F.explode(F.sequence(F.floor(F.col("start_frame") / bin_frames), F.floor(F.col("end_frame") / bin_frames))).alias("bin"))
+    cut = lambda df, n: df.select(*(pred_keys or keys if n == "pred" else keys), F.col("start_frame").alias(f"{n}_start"), F.col("end_frame").alias(f"{n}_end"), F.explode(F.sequence(F.floor(F.col("start_frame") / bin_frames), F.floor(F.col("end_frame") / bin_frames))).alias("bin"))
     both = cut(pred, "pred").join(cut(truth, "true"), [*keys, "bin"]).where(F.col("bin") == F.floor(F.greatest("pred_start", "true_start") / bin_frames))
     shared = G.overlap_length(F.col("pred_start"), F.col("pred_end"), F.col("true_start"), F.col("true_end"))
     return both.withColumn("overlap", shared).where((F.col("overlap") > 0) & (F.col("overlap") >= overlap * (F.col("pred_end") - F.col("pred_start") + 1))).drop("bin")
@@ -224,30 +302,55 @@ def largest_matching(edges: list[tuple[int, int, int]]) -> dict[int, int]:
     return {left: right for right, left in owner.items()}
 
 
+def _chains(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, ``__piece`` and ``edges`` (pred_start, true_start, pred_end, true_end, overlap in this order): pairs that share bouts, one chain of overlapping bouts a row."""
+    begin = F.least("pred_start", "true_start")
+    earlier = Window.partitionBy(*keys).orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(*keys).orderBy("begin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = pairs.select(*keys, "pred_start", "true_start", "pred_end", "true_end", "overlap", begin.alias("begin"))
+    apart = rows.withColumn("apart", F.coalesce(F.col("begin") > F.max(F.greatest("pred_end", "true_end")).over(earlier), F.lit(False)).cast("long"))
+    edge = F.struct("pred_start", "true_start", "pred_end", "true_end", "overlap")
+    return apart.withColumn("__piece", F.sum("apart").over(so_far)).groupBy(*keys, "__piece").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+
+
 def match_bouts(pairs: DataFrame, keys: tuple[str, ...] = ("stem",)) -> DataFrame:
     """A largest one-to-one matching of eligible pairs, in each group of ``keys``.
 
-    Pairs without a rival on either side match by themselves in the JVM; only contested
-    ones reach the grouped Python function, one chain of overlapping bouts at a time.
+    Pairs without a rival on either side match by themselves in the JVM; the chains of
+    contested ones reach Python as rows, many in an Arrow batch.
     """
     p, t = Window.partitionBy(*keys, "pred_start"), Window.partitionBy(*keys, "true_start")
     counted = pairs.select("*", F.count(F.lit(1)).over(p).alias("np"), F.count(F.lit(1)).over(t).alias("nt"))
-    kept = [*keys, "pred_start", "pred_end", "true_start", "true_end"]
-    alone = counted.where("np = 1 and nt = 1").select(*kept)
-    schema = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in kept)
+    kept = ["pred_start", "pred_end", "true_start", "true_end"]
+    alone = counted.where("np = 1 and nt = 1").select(*keys, *kept)
+    chains = _chains(counted.where("np > 1 or nt > 1"), keys).withColumn("chosen", F.array().cast("array<long>"))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = largest_matching(list(zip(pdf["pred_start"].tolist(), pdf["true_start"].tolist(), pdf["overlap"].tolist())))
-        chosen = [got.get(p) == t for p, t in zip(pdf["pred_start"].tolist(), pdf["true_start"].tolist())]
-        return pdf.loc[chosen, kept]
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            chosen = []
+            for edges in pdf["edges"]:
+                got = largest_matching([(e["pred_start"], e["true_start"], e["overlap"]) for e in edges])
+                chosen.append([k for k, e in enumerate(edges) if got.get(e["pred_start"]) == e["true_start"]])
+            yield pdf.assign(chosen=chosen)
 
-    begin = F.least("pred_start", "true_start")
-    earlier = Window.partitionBy(*keys).orderBy("__begin").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = Window.partitionBy(*keys).orderBy("__begin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rivals = counted.where("np > 1 or nt > 1").select(*kept, "overlap", begin.alias("__begin"))
-    apart = rivals.withColumn("__apart", F.coalesce(F.col("__begin") > F.max(F.greatest("pred_end", "true_end")).over(earlier), F.lit(False)).cast("long"))
-    contested = apart.withColumn("__piece", F.sum("__apart").over(so_far)).drop("__begin", "__apart").groupBy(*keys, "__piece").applyInPandas(solve, schema)
-    return alone.unionByName(contested)
+    solved = chains.mapInPandas(solve, chains.schema).select(*keys, F.explode(F.transform("chosen", lambda k: F.get("edges", k.cast("int")))).alias("e"))
+    return alone.unionByName(solved.select(*keys, *[F.col(f"e.{c}").alias(c) for c in kept]))
+
+
+def matched_count(pairs: DataFrame, keys: tuple[str, ...] = ("stem",), by: tuple[str, ...] = ()) -> DataFrame:
+    """``by`` and ``m``: the size of a largest matching, without choosing one.
+
+    Bouts of either side are disjoint and in order, so that a chain's pairs, by their starts, meet
+    a bout's pairs one after the other: taking each pair whose bouts are both free, from the left, is largest. A fold of built-in functions.
+    """
+    empty = F.struct(F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("t"), F.lit(0).cast("long").alias("m"))
+
+    def step(acc, e):
+        taken = acc["p"].eqNullSafe(e["pred_start"].cast("long")) | acc["t"].eqNullSafe(e["true_start"].cast("long"))
+        return F.when(taken, acc).otherwise(F.struct(e["pred_start"].cast("long").alias("p"), e["true_start"].cast("long").alias("t"), (acc["m"] + 1).alias("m")))
+
+    sizes = _chains(pairs, keys).select(*by, F.aggregate("edges", empty, step, lambda acc: acc["m"]).alias("m"))
+    return sizes.groupBy(*by).agg(F.sum("m").alias("m")) if by else sizes.agg(F.sum("m").alias("m"))
 
 
 def bout_errors(pred: DataFrame, truth: DataFrame, matches: DataFrame, keys: tuple[str, ...] = ("stem",)) -> DataFrame:
@@ -258,11 +361,24 @@ def bout_errors(pred: DataFrame, truth: DataFrame, matches: DataFrame, keys: tup
 
 
 def episode_metrics(pred: DataFrame, truth: DataFrame, overlap: float = 0.2, keys: tuple[str, ...] = ("stem",), by: tuple[str, ...] = ()) -> DataFrame:
-    """True and false episodes over all stems of each ``by`` group."""
-    matches = match_bouts(eligible_pairs(pred, truth, overlap, keys), keys)
-    part = lambda df, n: df.select(*by, *[F.lit(int(n == m)).alias(m) for m in ("m", "p", "t")])
-    rows = part(matches, "m").unionByName(part(pred, "p")).unionByName(part(truth, "t"))
-    sums = [F.sum("m").cast("long").alias("tp"), (F.sum("p") - F.sum("m")).cast("long").alias("fp"), (F.sum("t") - F.sum("m")).cast("long").alias("fn")]
+    """True and false episodes over all stems of each ``by`` group.
+
+    Truth without the columns of ``by`` holds for each of its groups.
+    """
+    shared = tuple(k for k in keys if k in truth.columns)
+    matches = matched_count(eligible_pairs(pred, truth, overlap, shared, pred_keys=keys), keys, by)
+    named = [c for c in by if c in truth.columns]
+    part = lambda df, n, cols: df.select(*cols, *[F.lit(int(n == m)).cast("long").alias(m) for m in ("p", "t")])
+    found = matches.select(*by, F.coalesce("m", F.lit(0)).alias("m"), F.lit(0).cast("long").alias("p"))
+    if len(named) == len(by):
+        true_rows = part(truth, "t", by)
+    else:  # one count of truths for every group
+        groups = pred.select(*by).distinct()
+        true_rows = F.broadcast(part(truth, "t", named).groupBy(*named).agg(F.sum("p").alias("p"), F.sum("t").alias("t")))
+        true_rows = (groups.join(true_rows, named) if named else groups.crossJoin(true_rows)).select(*by, "p", "t")
+    rows = found.withColumn("t", F.lit(0).cast("long")).unionByName(part(pred, "p", by).withColumn("m", F.lit(0).cast("long"))).unionByName(true_rows.withColumn("m", F.lit(0).cast("long")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    sums = [total("m").alias("tp"), (total("p") - total("m")).alias("fp"), (total("t") - total("m")).alias("fn")]
     return with_rates(rows.groupBy(*by).agg(*sums) if by else rows.agg(*sums)).select("*", (F.col("tp") + F.col("fp")).alias("n_predicted_episodes"), (F.col("tp") + F.col("fn")).alias("n_true_episodes"))
 
 

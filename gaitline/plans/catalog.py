@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaitline.functions import geometry as G
 from gaitline.operators import bouts as B
 from gaitline.operators import features as X
+from gaitline.operators import manifests as M
 from gaitline.operators import selection as S
 from gaitline.plans import fixtures as fx
 from gaitline.sources import io
@@ -175,21 +176,27 @@ def p7(spark, d):
     return rounded(X.zero_fill(counted, _FAMILY)[0])
 
 
-@query("p11_augment")
+def _noise(c: str, seed: int) -> str:
+    h = f"md5(concat('{seed}:{c}:', stem, ':', frame))"
+    part = lambda at: f"((('0x' || substring({h}, {at}, 8))::bigint + 0.5) / 4294967296.0)"
+    return f"sqrt(-2.0 * ln({part(1)})) * cos(2 * pi() * {part(9)})"
+
+
+@query("p11_augment", f"with {fx.POSE} select stem, frame, {', '.join(f'round({c} + 0.5 * {_noise(c, 7)}, 6) as {c}' for c in XY)} from fx_pose")
 def p11(spark, d):
-    return X.augment(features(spark, d).select("stem", "frame", *XY), XY, X.noise_for({"keypoint_noise_std": {"b0": 0.5}}, "b0"), 7)
+    return rounded(X.augment(features(spark, d).select("stem", "frame", *XY), XY, X.noise_for({"keypoint_noise_std": {"b0": 0.5}}, "b0"), 7))
 
 
 @query("p13_infer_behaviors", f"with {fx.FRAMES} select stem, frame, 'a' as behavior, round(prob, 6) as prob from fx_frames union all select stem, frame, 'b', round(1 - prob, 6) from fx_frames")
 def p13(spark, d):
     wide = fx.frames(spark, d).select("stem", "frame", F.col("prob").alias("prob_a"), (1 - F.col("prob")).alias("prob_b"))
-    names = [c.removeprefix("prob_") for c in wide.columns if c.startswith("prob_")]
-    return rounded(wide.toDF("stem", "frame", *names).unpivot(["stem", "frame"], names, "behavior", "prob"))
+    return rounded(io.unpivot_predictions(wide))
 
 
 @query("p12_p14_subset_seconds", f"with {fx.FRAMES} select stem, frame, round(frame / 25.0, 6) as seconds, round(prob, 6) as prob from fx_frames where stem in ('v1', 'v2', 'v3')")
 def p14(spark, d):
-    return rounded(fx.frames(spark, d).where(F.col("stem").isin("v1", "v2", "v3")).select("stem", "frame", (F.col("frame") / F.lit(25.0)).alias("seconds"), "prob"))
+    rows = io.subset_predictions(fx.frames(spark, d).select("stem", "frame", F.col("prob").alias("prob_b"), F.col("truth").alias("true_c"), F.lit(0.0).alias("prob_c")), ["v1", "v2", "v3"], ["b"])
+    return rounded(rows.select("stem", "frame", io.time_axis(25.0).alias("seconds"), F.col("prob_b").alias("prob")))
 
 
 # --- annotations -----------------------------------------------------------------------------------
@@ -266,9 +273,8 @@ def a13(spark, d):
 
 @query("a26_restored_windows", f"with {fx.FRAMES}, {fx.WINDOWS}, w as (select stem, count(distinct start) as restored from fx_rows group by 1), n as (select stem, cast(case when count(*) < 10 then 0 else 1 + (count(*) - 10) // 5 end as bigint) as recorded from fx_frames group by 1) select stem, recorded, coalesce(restored, 0) as restored, recorded = coalesce(restored, 0) as valid from n left join w using (stem)")
 def a26(spark, d):
-    got = B.window_arrays(fx.frames(spark, d), ["prob"], fx.WINDOW, fx.STRIDE).where((F.size("x") == fx.WINDOW) & F.forall("x", lambda s: F.size(s["features"]) == 1)).groupBy("stem").agg(F.count(F.lit(1)).alias("restored"))
-    out = a3(spark, d).select("stem", F.col("windows").alias("recorded")).join(got, "stem", "left").fillna(0, subset=["restored"])
-    return out.withColumn("valid", F.col("recorded") == F.col("restored"))
+    windows = B.window_arrays(fx.frames(spark, d), ["prob"], fx.WINDOW, fx.STRIDE)
+    return B.restored_windows(windows, a3(spark, d).select("stem", F.col("windows").alias("recorded")), fx.WINDOW, 1)
 
 
 @query("u1_score_windows", f"with {fx.FRAMES}, {fx.WINDOWS} select stem, cast(start as int) as start, round(sum(prob::float::double * prob::float::double) + 1e-9, 6) as total, count(*) as n from fx_rows group by 1, 2")
@@ -310,16 +316,20 @@ def a16(spark, d):
 @query("u3_baseline_scorer")
 def u3(spark, d):
     """A weighted logistic model on lags and leads of the frame's value, fitted on two thirds of the videos."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+    rows = fx.frames(spark, d)
+    return B.fit_baseline(rows, fitted=F.crc32(F.encode("stem", "UTF-8")).__mod__(3) < 2)(rows)
+
+
+_MEMBER_SUM = "least(1.0, prob::float::double * (0.9 + 0.1 * m))"
 
-    w = Window.partitionBy("stem").orderBy("frame")
-    context = [F.coalesce(F.lag("prob", k).over(w) if k > 0 else F.lead("prob", -k).over(w), F.col("prob")).alias(f"c{k + 2}") for k in range(-2, 3)]
-    rows = fx.frames(spark, d).select("stem", "frame", "truth", F.crc32(F.encode("stem", "UTF-8")).__mod__(3).alias("part"), *context)
-    ready = VectorAssembler(inputCols=[f"c{k}" for k in range(5)], outputCol="features").transform(rows.withColumn("weight", F.when(F.col("truth") == 1, 0.7).otherwise(0.3)))
-    model = LogisticRegression(labelCol="truth", weightCol="weight", maxIter=20).fit(ready.where("part < 2"))
-    return model.transform(ready).select("stem", "frame", "truth", vector_to_array("probability")[1].alias("prob"))
+
+@query("u2_member_scores", f"with {fx.FRAMES}, {fx.WINDOWS} select m as member, stem, cast(start as int) as start, cast(frame as int) as frame, round({_MEMBER_SUM} + 1e-9, 6) as prob from fx_rows, range(3) t(m) where user_id % 10 <> m")
+def u2(spark, d):
+    """Three members score the windows of videos that they have not seen, each with its own scorer."""
+    windows = B.window_arrays(fx.frames(spark, d), ["prob"], fx.WINDOW, fx.STRIDE)
+    scorer = lambda m: lambda x: [[min(1.0, float(f[0]) * (0.9 + 0.1 * m)) for f in rows] for rows in x]
+    scored = B.score_members(windows, {m: scorer(m) for m in range(3)}, fx.seen_stems(spark, d))
+    return rounded(B.scored_frames(scored).select("member", "stem", "start", F.col("frame").cast("int").alias("frame"), "prob"), 1e-9)
 
 
 # --- bouts and episode metrics ---------------------------------------------------------------------
@@ -392,7 +402,28 @@ def j7b(spark, d):
     return B.bout_errors(pred, truth, lone)
 
 
-@query("a8_episode_metrics")
+def _matched(pairs: str, keys: str = "stem", name: str = "matched") -> str:
+    """CTEs (recursive) that end in ``name``: keys and m, the largest number of one-to-one matches, from the left to the right."""
+    same = " and ".join(f"w.{k} = e.{k}" for k in keys.split(", "))
+    return f"""{name}_e as (select *, row_number() over (partition by {keys} order by pred_start, true_start) as rn from {pairs}),
+    {name}_w as (select {keys}, rn, pred_start, true_start, 1 as m from {name}_e where rn = 1
+        union all select {', '.join(f'e.{k}' for k in keys.split(', '))}, e.rn, case when w.pred_start = e.pred_start or w.true_start = e.true_start then w.pred_start else e.pred_start end,
+            case when w.pred_start = e.pred_start or w.true_start = e.true_start then w.true_start else e.true_start end,
+            w.m + case when w.pred_start = e.pred_start or w.true_start = e.true_start then 0 else 1 end
+        from {name}_w w join {name}_e e on {same} and e.rn = w.rn + 1),
+    {name} as (select {keys}, max(m) as m from {name}_w group by {keys})"""
+
+
+def _episodes_of(by: str = "") -> str:
+    """Columns of episode metrics from a row (tp, p, t)."""
+    rates = "case when p > 0 then tp / p else 0.0 end as precision, case when t > 0 then tp / t else 0.0 end as recall, case when tp > 0 then 2.0 * tp / (p + t) else 0.0 end as f1"
+    return f"select {by}cast(tp as bigint) as tp, cast(p - tp as bigint) as fp, cast(t - tp as bigint) as fn, {rates}, cast(p as bigint) as n_predicted_episodes, cast(t as bigint) as n_true_episodes"
+
+
+_EPISODE_COLS = "tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, n_predicted_episodes, n_true_episodes"
+
+
+@query("a8_episode_metrics", f"with recursive {fx.FRAMES}, {_PRED}, {_TRUE}, {_ELIGIBLE}, {_matched('pairs')}, s as (select (select coalesce(sum(m), 0) from matched) as tp, (select count(*) from pb) as p, (select count(*) from tb) as t), e as ({_episodes_of()} from s) select {_EPISODE_COLS} from e")
 def a8(spark, d):
     return rounded(B.episode_metrics(*episodes(spark, d)))
 
@@ -410,13 +441,12 @@ _ORDER = "f1 desc, least(precision, recall) desc, precision desc, recall desc, a
 @query("p19_threshold_grid", f"with {fx.FRAMES}, t as (select distinct round(0.35::double + k * 0.01::double, 10) as threshold from range(41) q(k)) select threshold, count(*) filter (prob >= threshold) as positives from fx_frames, t group by 1")
 def p19(spark, d):
     # how many frames each threshold lets through: the grid alone would be a fixed small table
-    return S.apply_thresholds(fx.frames(spark, d), S.threshold_grid(spark)).groupBy("threshold").agg(F.sum("pred").alias("positives"))
+    return S.threshold_counts(fx.frames(spark, d), S.threshold_grid(spark), []).select("threshold", (F.col("tp") + F.col("fp")).alias("positives"))
 
 
 @query("j14_threshold_sweep", f"with {fx.FRAMES}, t as (select distinct round(0.35::double + k * 0.05::double, 10) as threshold from range(9) q(k)), x as (select stem, frame, threshold, prob from fx_frames, t), {fx.bout_sql('x', 'prob >= threshold', 3, 1, 'stem, threshold')} select threshold, count(*) as n_bouts, cast(sum(n_positive) as bigint) as positives from fx_bouts group by 1")
 def j14(spark, d):
-    rows = S.apply_thresholds(fx.frames(spark, d).select("stem", "frame", "prob"), S.threshold_grid(spark, 0.35, 0.75, 0.05))
-    return B.bouts(rows, F.col("pred") == 1, 3, 1, ("stem", "threshold")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n_bouts"), F.sum("n_positive").alias("positives"))
+    return B.bouts_at(fx.frames(spark, d), S.threshold_grid(spark, 0.35, 0.75, 0.05), 3, 1).groupBy("threshold").agg(F.count(F.lit(1)).alias("n_bouts"), F.sum("n_positive").alias("positives"))
 
 
 @query("fx_runs_metrics", f"with {fx.FRAMES}, {fx.runs_sql()} select outer_id, outer_seed, inner_seed, threshold, tp, fp, fn, tn, {r6('precision', 'recall', 'f1', 'accuracy')} from fx_runs")
@@ -427,7 +457,10 @@ def runs(spark, d):
 @query("p16_p17_w9_best_threshold", f"with {fx.FRAMES}, {fx.runs_sql()}, k as (select *, row_number() over (partition by outer_id, inner_seed order by {_ORDER}) as rn from fx_runs) select outer_id, cast(inner_seed as varchar) as inner_seed, threshold, round(f1, 6) as validation_f1, round(precision, 6) as validation_precision, round(recall, 6) as validation_recall from k where rn = 1")
 def w9(spark, d):
     raw = fx.runs(spark, d).select(F.col("outer_id").alias("outer_split"), F.concat(F.lit("inner_seed"), F.col("inner_seed").cast("string")).alias("inner_split"), "threshold", "f1", "precision", "recall")
-    return rounded(S.best_per_run(S.normalise_run_keys(raw)))
+    # the rows of another behaviour and level, which would win every run, are filtered away
+    other = raw.withColumns({"behavior": F.lit("other"), "level": F.lit("episode"), "f1": F.lit(1.0)})
+    sweep = raw.withColumns({"behavior": F.lit("b"), "level": F.lit("episode")}).unionByName(other).unionByName(other.withColumns({"behavior": F.lit("b"), "level": F.lit("frame")}))
+    return rounded(S.best_per_run(S.normalise_run_keys(S.select_sweep_rows(sweep, "b"))))
 
 
 @query("g10_w10_best_epochs", f"with {fx.FRAMES}, {fx.runs_sql()}, c as (select outer_seed * 4 + inner_seed as epoch, * from fx_runs), k as (select *, row_number() over (partition by epoch order by {_ORDER}) = 1 as selected_for_epoch, row_number() over (order by {_ORDER}, epoch) = 1 as selected from c) select epoch, threshold, {r6('f1', 'precision', 'recall')}, selected_for_epoch, selected from k")
@@ -501,7 +534,13 @@ def a15(spark, d):
     return rounded(ranked_negatives(spark, d).agg(F.min("hardness").alias("min_hardness"), F.median("hardness").alias("median_hardness"), F.max("hardness").alias("max_hardness")))
 
 
-@query("t1_diverse_pool")
+_THIN = """o as (select *, row_number() over (partition by stem order by hardness desc, max_probability desc, start) as rn from six),
+    w as (select stem, rn, [start] as taken from o where rn = 1
+        union all select o.stem, o.rn, case when len(list_filter(w.taken, lambda x: abs(x - o.start) < 10)) = 0 then list_append(w.taken, o.start) else w.taken end from w join o on o.stem = w.stem and o.rn = w.rn + 1),
+    k as (select stem, unnest(arg_max(taken, rn)) as start from w group by stem)"""
+
+
+@query("t1_diverse_pool", f"with recursive {fx.FRAMES}, {fx.WINDOWS}, {_NEG}, {_R}, {_THIN}, n as (select count(*) as n from six), r as (select six.*, row_number() over (order by hardness desc, max_probability desc, six.stem, six.start) as place from six join k on k.stem = six.stem and k.start = six.start) select r.* exclude (place) from r, n where place <= ceil(n.n * 0.5)")
 def t1(spark, d):
     return S.diverse_pool(ranked_negatives(spark, d), 0.5, fx.WINDOW)
 
@@ -565,7 +604,13 @@ def k3(spark, d):
     return S.shuffled_batches(fx.frames(spark, d).select("stem", "frame"), ["stem", "frame"], 32, 1, 0)
 
 
-@query("k4_e5_stratified_batches")
+_STRATA = "items as (select stem, cast(start as int) as start, case when sum(truth) > 2 then 'positive' when start % 20 = 0 then 'hard' else 'random' end as stratum from fx_rows group by stem, start)"
+_DRAWS = """sizes as (select stratum, count(*) as n, case stratum when 'positive' then 1 when 'hard' then 3 else 4 end as per, (select ceil(count(*) / 8.0) from items) as steps from items group by 1),
+    rounds as (select stratum, per, steps, unnest(range(cast(ceil(steps * per / n) as bigint))) as round from sizes),
+    drawn as (select i.stem, i.start, i.stratum, r.round, r.per, r.steps, row_number() over (partition by i.stratum order by r.round, md5(concat('3:0:', i.stratum, ':', r.round, ':', i.stem, ':', i.start)), i.stem, i.start) as draw from items i join rounds r on r.stratum = i.stratum)"""
+
+
+@query("k4_e5_stratified_batches", f"with {fx.FRAMES}, {fx.WINDOWS}, {_STRATA}, {_DRAWS} select stem, start, stratum, cast(round as int) as round, cast((draw - 1) // per as bigint) as step from drawn where draw <= steps * per")
 def k4(spark, d):
     w = B.window_rows(fx.frames(spark, d), fx.WINDOW, fx.STRIDE).groupBy("stem", "start").agg(F.sum("truth").alias("p"))
     items = w.select("stem", "start", F.when(F.col("p") > 2, "positive").when(F.col("start") % 20 == 0, "hard").otherwise("random").alias("stratum"))
@@ -580,7 +625,7 @@ def a11(spark, d):
 
 @query("a24_frame_rates", f"with {fx.FRAMES} select count(distinct event_id % 3) as n_rates, count(distinct event_id % 3) = 1 as uniform from fx_frames")
 def a24(spark, d):
-    return fx.frames(spark, d).agg(F.count_distinct(F.col("event_id") % 3).alias("n_rates")).withColumn("uniform", F.col("n_rates") == 1)
+    return S.uniform_rate(fx.frames(spark, d).withColumn("rate", F.col("event_id") % 3), "rate")
 
 
 # --- sweeps ----------------------------------------------------------------------------------------
@@ -615,9 +660,10 @@ def a18(spark, d):
     return rounded(S.sweep_summary(S.successful(rows), 0.4))
 
 
-@query("p18_a19_batch_summary", f"with {_BATCHES}, r as (select *, 'last' as checkpoint_policy, case when inner_seed = 0 then 'threshold_map' else 'fixed_0.5' end as threshold_policy from batches) select batch, checkpoint_policy, threshold_policy, behavior, subset, level, {_stats(S.RATES, 0.4, False)} from r group by 1, 2, 3, 4, 5, 6")
+@query("p18_a19_batch_summary", f"with {_BATCHES}, r as (select *, 'last' as checkpoint_policy, case inner_seed when 0 then 'validation_selected_posthoc_map' when 1 then 'validation_selected_from_checkpoint_training' when 2 then 'fixed:0.55' else 'fixed:0.5' end as threshold_policy from batches) select batch, checkpoint_policy, threshold_policy, behavior, subset, level, {_stats(S.RATES, 0.4, False)} from r group by 1, 2, 3, 4, 5, 6")
 def a19(spark, d):
-    rows = batches(spark, d).withColumns({"checkpoint_policy": F.lit("last"), "fixed": F.lit(0.5), "mode": F.when(F.col("inner_seed") == 0, "map").otherwise("fixed")})
+    mode = F.when(F.col("inner_seed") == 0, "external_map").when(F.col("inner_seed") == 1, "selected_checkpoint").when(F.col("inner_seed") == 2, "fixed")
+    rows = batches(spark, d).withColumns({"checkpoint_policy": F.lit("last"), "fixed": F.when(F.col("inner_seed") == 2, F.lit(0.55)), "mode": mode})
     return rounded(S.batch_summary(rows.withColumn("threshold_policy", S.threshold_policy("fixed", "mode")), False, 0.4))
 
 
@@ -637,8 +683,9 @@ def a20(spark, d):
 
 @query("j15_batch_mismatches", f"with {_BATCHES} select outer_id, inner_seed, case when inner_seed = 1 then 'missing_in_candidate' else 'signature' end as problem from batches where batch_ord = 0 and inner_seed in (1, 2)")
 def j15(spark, d):
-    rows = batches(spark, d).where("not (batch_ord = 1 and inner_seed = 1)").withColumn("sig", F.when((F.col("inner_seed") == 2) & (F.col("batch_ord") == 1), "other").otherwise("same"))
-    return S.batch_mismatches(rows, ["outer_id", "inner_seed"], "sig")
+    changed = F.when((F.col("inner_seed") == 2) & (F.col("batch_ord") == 1), "other").otherwise("same")
+    rows = batches(spark, d).where("not (batch_ord = 1 and inner_seed = 1)").withColumns({"split_signature": F.lit("same"), "val_split_signature": changed})
+    return S.batch_mismatches(rows, ["outer_id", "inner_seed"], ["split_signature", "val_split_signature"])
 
 
 @query("a23_duplicate_keys", "select user_id, event_type, count(*) as n from events group by 1, 2 having count(*) > 1")
@@ -646,7 +693,7 @@ def a23(spark, d):
     return S.duplicates(fx.table(spark, d, "events"), ["user_id", "event_type"])
 
 
-_STATUS = "s as (select outer_id, inner_seed, case when inner_seed = 0 then 'm/' || outer_id when inner_seed = 1 then null end as manifest_path, case inner_seed when 0 then 'complete' when 1 then 'incomplete' else 'missing' end as state from batches where batch_ord = 0)"
+_STATUS = "s as (select outer_id, inner_seed, case when inner_seed = 0 then 'm/' || outer_id when inner_seed = 1 then null end as manifest_path, case inner_seed when 0 then 'complete' else 'pending' end as state, case inner_seed when 0 then 'complete' when 1 then 'incomplete' else 'missing' end as detail from batches where batch_ord = 0)"
 
 
 @query("j11_plan_status", f"with {_BATCHES}, {_STATUS} select * from s")
@@ -656,6 +703,12 @@ def j11(spark, d):
     return S.plan_status(plan, results, ["outer_id", "inner_seed"])
 
 
+@query("j11_pending_runs", f"with {_BATCHES}, {_STATUS} select outer_id, inner_seed, detail = 'incomplete' as has_partial_run, (select count(*) from s where state = 'pending') as pending, (select count(*) from s where detail = 'missing') as missing, (select count(*) from s) as total from s where state = 'pending'")
+def j11_pending(spark, d):
+    status = j11(spark, d)
+    return S.pending_runs(status).crossJoin(F.broadcast(S.status_counts(status).select("pending", "missing", "total")))
+
+
 @query("j17_resolve_manifests", f"with {_BATCHES} select outer_id, inner_seed, case inner_seed when 0 then 'p/' || outer_id when 1 then 'n/' || outer_id when 2 then 's/' || outer_id end as manifest_path from batches where batch_ord = 0")
 def j17(spark, d):
     r = batches(spark, d).where("batch_ord = 0")
@@ -690,10 +743,40 @@ def a21(spark, d):
     return S.incompatible_fields(batches(spark, d), "outer_id", ["threshold", "level"])
 
 
-@query("s10_s12_load_batch", f"with {_BATCHES} select outer_id, inner_seed, round(f1, 6) as f1, 'base' as batch, 'last' as checkpoint_policy, 'fixed_0.5' as threshold_policy, sha256('[\"s/' || outer_id || '\",\"v/' || inner_seed || '\"]') as split_signature from batches where batch_ord = 0 and inner_seed <> 3")
+def _manifests(spark, d) -> DataFrame:
+    """A manifest for every run, as JSON: runs of inner seed 1 have other windows, those of 2 another recipe, those of 3 only another seed and order of keys."""
+    runs = batches(spark, d).where("batch_ord = 0").select("outer_id", "inner_seed")
+    size = F.when(F.col("inner_seed") == 1, "20").otherwise("10")
+    rate = F.when(F.col("inner_seed") == 2, "0.1").otherwise("0.2")
+    window = F.when(F.col("inner_seed") == 3, F.concat(F.lit('{"stride":5,"size":'), size, F.lit("}"))).otherwise(F.concat(F.lit('{"size":'), size, F.lit(',"stride":5}')))
+    text = F.concat(F.lit('{"behavior":"b","behavior_idx":0,"label_columns":["b"],"feature_columns":["x","y"],"feature_selection":{},"split":"s.yml","kl_config":"c.yml","window":'), window, F.lit(',"training":{"seed":'), F.col("inner_seed").cast("string"), F.lit(',"val_fraction":0.2,"rate":'), rate, F.lit("}}"))
+    return runs.select("outer_id", "inner_seed", F.concat_ws("/", "outer_id", F.col("inner_seed").cast("string")).alias("manifest_path"), text.alias("manifest"))
+
+
+@query("a21_manifest_conflicts", f"with {_BATCHES}, r as (select outer_id, outer_id || '/' || inner_seed as manifest_path, inner_seed from batches where batch_ord = 0), c as (select *, 'ensemble' as guard, 'window' as field from r where inner_seed = 1 union all select *, 'selection', 'window' from r where inner_seed = 1 union all select *, 'selection', 'training_recipe' from r where inner_seed = 2 union all select *, 'train_set', 'window' from r where inner_seed = 1 union all select *, 'train_set', 'seed' from r where inner_seed > 0 union all select *, 'train_set', 'behavior' from r where inner_seed > 0 union all select *, 'source', 'window' from r where inner_seed = 1) select outer_id, manifest_path, guard, field from c")
+def a21_manifests(spark, d):
+    fields = M.manifest_fields(_manifests(spark, d))
+    named = lambda df, guard: df.select("outer_id", "manifest_path", F.lit(guard).alias("guard"), "field")
+    of_source = M.source_conflicts(fields, fields.where("manifest_path = 'outer_seed0/0'")).withColumn("outer_id", F.substring_index("manifest_path", "/", 1))
+    return named(M.ensemble_conflicts(fields, "outer_id"), "ensemble").unionByName(named(M.selection_conflicts(fields, "outer_id"), "selection")).unionByName(named(M.train_set_conflicts(fields, "val", "outer_id"), "train_set")).unionByName(named(of_source, "source"))
+
+
+@query("a22_manifest_signatures", f"with {_BATCHES} select inference, count(*) as runs from (select inner_seed = 1 as inference from batches where batch_ord = 0) q group by 1")
+def a22_manifests(spark, d):
+    """How many runs share the most common inference signature, and how many have another."""
+    signed = M.signatures(M.manifest_fields(_manifests(spark, d)), M.INFERENCE)
+    counts = signed.groupBy("signature").agg(F.count(F.lit(1)).alias("runs"))
+    most = counts.agg(F.max("runs").alias("most"))
+    return counts.crossJoin(F.broadcast(most)).groupBy((F.col("runs") < F.col("most")).alias("inference")).agg(F.sum("runs").alias("runs"))
+
+
+@query("s10_s12_load_batch", f"with {_BATCHES} select outer_id, inner_seed, round(f1, 6) as f1, 'base' as batch, 'last' as checkpoint_policy, 'fixed:0.5' as threshold_policy, sha256('content ' || outer_id) as split_signature, sha256('content ' || inner_seed) as val_split_signature from batches where batch_ord = 0 and inner_seed <> 3")
 def s12(spark, d):
-    raw = batches(spark, d).where("batch_ord = 0").withColumns({"split_path": F.concat(F.lit("s/"), "outer_id"), "val_split_path": F.concat(F.lit("v/"), F.col("inner_seed").cast("string")), "eval_returncode": F.when(F.col("inner_seed") == 3, 1).otherwise(0), "error": F.lit(None).cast("string"), "threshold_mode": F.lit("fixed"), "threshold": F.lit(0.5)})
-    return rounded(io.load_batch(io.sweep_rows(raw), "base", "b", "last").select("outer_id", "inner_seed", "f1", "batch", "checkpoint_policy", "threshold_policy", "split_signature"))
+    seed = F.col("inner_seed").cast("string")
+    raw = batches(spark, d).where("batch_ord = 0").withColumns({"split_path": F.concat(F.lit("/old/splits/"), "outer_id", F.lit(".yml")), "val_split_path": F.concat(F.lit("/new/splits/val"), seed, F.lit(".yml")), "eval_returncode": F.when(F.col("inner_seed") == 3, 1).otherwise(0), "error": F.lit(None).cast("string"), "threshold_mode": F.lit("fixed"), "threshold": F.lit(0.5)})
+    files = raw.select(F.concat(F.lit("/new/splits/"), "outer_id", F.lit(".yml")).alias("path"), F.concat(F.lit("content "), "outer_id").alias("content")).union(raw.select("val_split_path", F.concat(F.lit("content "), seed))).distinct()
+    out = io.load_batch(io.sweep_rows(raw), files.withColumn("signature", F.sha2("content", 256)), "base", "b", "last")
+    return rounded(out.select("outer_id", "inner_seed", "f1", "batch", "checkpoint_policy", "threshold_policy", "split_signature", "val_split_signature"))
 
 
 @query("p22_manifest_summary", f"with {_BATCHES} select outer_id, inner_seed, threshold as selected_threshold, round(f1, 6) as val_f1 from batches where batch_ord = 0")
@@ -716,7 +799,7 @@ def t2(spark, d):
     return S.select_top(candidates(spark, d), 0.2, 6)
 
 
-@query("t3_diverse_candidates", f"with {_BATCHES}, {_CAND}, b as (select * from cand where score >= (select max(score) from cand) - 0.1), r as (select *, row_number() over (partition by coalesce('outer:' || outer_id, 'manifest:' || manifest_path) order by score desc, manifest_path) > 1 as later from b) select manifest_path, outer_id, score from r order by later, score desc, manifest_path limit 6")
+@query("t3_diverse_candidates", f"with {_BATCHES}, {_CAND}, b as (select * from cand where score >= (select max(score) from cand) - 0.1), r as (select *, row_number() over (partition by outer_id, case when outer_id is null then manifest_path end order by score desc, manifest_path) > 1 as later from b) select manifest_path, outer_id, score from r order by later, score desc, manifest_path limit 6")
 def t3(spark, d):
     return S.select_diverse(candidates(spark, d), 0.1, 6)
 
@@ -741,7 +824,7 @@ def e4(spark, d):
 @query("e5_negative_pool", f"with {fx.FRAMES} select stem, frame from fx_frames where truth = 0 and not (frame % 4 = 0)")
 def e5(spark, d):
     n = fx.frames(spark, d).where("truth = 0").select("stem", "frame")
-    return n.join(n.where("frame % 4 = 0"), ["stem", "frame"], "left_anti")
+    return S.negative_pool(n, n.where("frame % 4 = 0"), ["stem", "frame"])
 
 
 # --- sources ---------------------------------------------------------------------------------------
@@ -805,7 +888,10 @@ def u4_predict(spark, d):
     return rounded(B.bout_table(reconstructed(spark, d), F.col("prob") >= 0.4, 3, 1), 1e-9)
 
 
-@query("u4_evaluate_pipeline")
+_RECON_EVENTS = f"{fx.bout_sql('posn', 'pred = 1', 3, 1, name='pb')}, {fx.bout_sql('posn', 'truth = 1', 1, 0, name='tb')}, {_ELIGIBLE}, {_matched('pairs')}"
+
+
+@query("u4_evaluate_pipeline", f"with recursive {fx.FRAMES}, {fx.WINDOWS}, {fx.MEMBER_SCORES}, {_ENSEMBLE}, posn as (select stem, pred, truth, frame from recon), {_RECON_EVENTS}, s as (select (select coalesce(sum(m), 0) from matched) as tp, (select count(*) from pb) as p, (select count(*) from tb) as t), e as (select 'episode' as level, * from ({_episodes_of()} from s)), c as (select {_CELLS} from recon), f as (select 'frame' as level, tp, fp, fn, tn, case when tp + fp > 0 then tp / (tp + fp) else 0 end as precision, case when tp + fn > 0 then tp / (tp + fn) else 0 end as recall, case when tp > 0 then 2.0 * tp / (2 * tp + fp + fn) else 0 end as f1, (tp + tn) / greatest(tp + fp + fn + tn, 1) as accuracy from c), r as (select level, tp, fp, fn, tn, precision, recall, f1, accuracy, cast(null as bigint) as n_predicted_episodes, cast(null as bigint) as n_true_episodes from f union all select level, tp, fp, fn, cast(null as bigint), precision, recall, f1, cast(null as double), n_predicted_episodes, n_true_episodes from e) select level, tp, fp, fn, tn, {r6('precision', 'recall', 'f1', 'accuracy')}, n_predicted_episodes, n_true_episodes, round(f1, 6) as macro_f1, round(precision, 6) as macro_precision, round(recall, 6) as macro_recall from r")
 def u4_evaluate(spark, d):
     """Frame and episode metrics of the reconstructed ensemble, with their macro rows."""
     f = reconstructed(spark, d)
@@ -819,11 +905,13 @@ def u4_compare(spark, d):
     return rounded(S.paired_summary(S.paired_deltas(batches(spark, d), _KEYS), ["behavior"]).select("candidate_batch", "mean_delta_f1", "n_paired_runs"))
 
 
-@query("u4_sweep_evaluate_pipeline")
+_SWEEP = f"t as (select distinct round(0.35::double + k * 0.05::double, 10) as threshold from range(9) q(k)), x as (select stem, frame, threshold, prob from fx_frames, t), {fx.bout_sql('x', 'prob >= threshold', 3, 1, 'stem, threshold', 'pb')}, {_TRUE}, {_ELIGIBLE.replace('select p.stem', 'select p.threshold, p.stem', 1)}, {_matched('pairs', 'stem, threshold')}"
+
+
+@query("u4_sweep_evaluate_pipeline", f"with recursive {fx.FRAMES}, {_SWEEP}, s as (select threshold, coalesce((select sum(m) from matched m where m.threshold = g.threshold), 0) as tp, g.p, (select count(*) from tb) as t from (select threshold, count(*) as p from pb group by 1) g), e as ({_episodes_of('threshold, ')} from s) select threshold, {_EPISODE_COLS} from e")
 def u4_sweep(spark, d):
-    """Episode metrics at every threshold of the grid, best first."""
-    f = S.apply_thresholds(fx.frames(spark, d).select("stem", "frame", "prob", "truth"), S.threshold_grid(spark, 0.35, 0.75, 0.05))
-    keys = ("stem", "threshold")
-    out = B.episode_metrics(B.bouts(f, F.col("pred") == 1, 3, 1, keys), B.bouts(f, F.col("truth") == 1, 1, 0, keys), 0.2, keys, ("threshold",))
+    """Episode metrics at every threshold of the grid, best first; truths, which no threshold changes, are made once."""
+    f = fx.frames(spark, d).select("stem", "frame", "prob", "truth")
+    pred = B.bouts_at(f, S.threshold_grid(spark, 0.35, 0.75, 0.05), 3, 1)
+    out = B.episode_metrics(pred, B.bouts(f, F.col("truth") == 1, 1, 0), 0.2, ("stem", "threshold"), ("threshold",))
     return rounded(out).orderBy(F.desc("f1"), "threshold")
-

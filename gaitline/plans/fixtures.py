@@ -90,7 +90,7 @@ def runs(spark: SparkSession, sf_dir: str, scale: float = 1.0) -> DataFrame:
 
     grid = S.threshold_grid(spark, 0.35, 0.75, 0.05)
     rows = frames(spark, sf_dir).select((F.col("user_id") % 5).alias("outer_seed"), (F.floor(F.col("user_id") / 5) % 4).alias("inner_seed"), F.least(F.col("prob") * scale, F.lit(1.0)).alias("prob"), "truth")
-    out = B.binary_metrics(S.apply_thresholds(rows, grid), ["outer_seed", "inner_seed", "threshold"])
+    out = B.with_accuracy(S.threshold_counts(rows, grid, ["outer_seed", "inner_seed"]))
     return out.select(F.concat(F.lit("outer_seed"), F.col("outer_seed").cast("string")).alias("outer_id"), F.col("outer_seed").cast("int").alias("outer_seed"), F.col("inner_seed").cast("int").alias("inner_seed"), "threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "accuracy")
 
 
@@ -113,13 +113,17 @@ STEMS = "fx_stems as (select distinct stem from fx_frames)"
 MEMBERS = 3
 
 
+def seen_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(member, stem): the videos that a member of the ensemble has been trained on."""
+    return frames(spark, sf_dir).select("stem", (F.col("user_id") % 10).cast("int").alias("member")).distinct().where(F.col("member") < MEMBERS)
+
+
 def member_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window rows times members with closed-form probabilities: (member, user_id, stem, frame, start, pos, prob, truth)."""
     from gaitline.operators import bouts as B
 
     rows = B.window_rows(frames(spark, sf_dir).select("stem", "frame", "prob", "truth", "user_id"), WINDOW, STRIDE)
-    seen = frames(spark, sf_dir).select("stem", (F.col("user_id") % 10).cast("int").alias("member")).distinct().where(F.col("member") < MEMBERS)
-    kept = B.recuse(rows, spark.range(MEMBERS).select(F.col("id").cast("int").alias("member")), seen)
+    kept = B.recuse(rows, spark.range(MEMBERS).select(F.col("id").cast("int").alias("member")), seen_stems(spark, sf_dir))
     return kept.withColumn("prob", F.least(F.lit(1.0), F.col("prob") * (0.8 + 0.1 * ((F.col("start") / STRIDE).cast("int") + F.col("member")).__mod__(5))))
 
 

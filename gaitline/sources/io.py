@@ -76,34 +76,170 @@ def stems_of(paths: DataFrame, column: str = "path") -> DataFrame:
     return paths.select(stem_of_path(F.trim(column)).alias("stem")).where("stem <> ''")
 
 
-def parse_split(lines: DataFrame, text: str = "value", order: str = "line") -> DataFrame:
-    """(subset, stem, ord) of a split file's lines: ``section:`` headers in any case, then one stem a line, with or without a dash.
+def split_content(text: str, yaml: bool = True) -> dict:
+    """A split file's sections. ``yaml``: a mapping; else the legacy form, ``Section:`` lines with an entry on each line below.
 
-    A split file is one small text; its lines share one window.
+    Entries before a section are an error. Split files are small, so each is read whole.
     """
-    from pyspark.sql import Window
-
-    head = F.lower(F.regexp_extract(text, r"^\s*([A-Za-z]+)(?:[ _]?(?:set|videos))?\s*:\s*$", 1))
-    known = F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair])
-    rows = lines.withColumn("h", known[head]).withColumn("subset", F.last("h", ignorenulls=True).over(Window.orderBy(order)))
-    stem = stem_of_path(F.regexp_replace(F.trim(text), r"""^-\s*|["']""", ""))
-    return rows.where("h is null and subset is not null").select("subset", stem.alias("stem"), F.col(order).alias("ord")).where("stem <> ''")
+    if yaml:
+        try:
+            from yaml import safe_load as load
+        except ModuleNotFoundError:
+            load = _plain_yaml
+        found = load(text)
+        if not isinstance(found, dict):
+            raise ValueError("a split file must be a mapping")
+        return found
+    sections: dict[str, list[str]] = {}
+    entries: list[str] | None = None
+    for line in filter(None, map(str.strip, text.splitlines())):
+        if line.endswith(":"):
+            entries = sections[line[:-1].strip().lower()] = []
+        elif entries is None:
+            raise ValueError("entries before a section header")
+        else:
+            entries.append(line)
+    return sections
+
+
+def _plain_yaml(text: str) -> dict:
+    """Where no YAML reader is installed: keys at the left margin with a scalar, a list in brackets, or dashed lines below."""
+
+    def scalar(x: str):
+        x = x.strip()
+        if x[:1] in ("'", '"') and x[-1:] == x[:1] and len(x) > 1:
+            return x[1:-1]
+        x = re.sub(r"\s#.*$", "", x).strip()
+        if re.fullmatch(r"-?[0-9]+", x):
+            return int(x)
+        if re.fullmatch(r"-?[0-9]+\.[0-9]*", x):
+            return float(x)
+        return {"true": True, "false": False, "null": None, "~": None, "": None}.get(x.lower(), x)
+
+    out: dict = {}
+    key = None
+    for line in text.splitlines():
+        if not line.strip() or line.lstrip().startswith("#") or line.strip() in ("---", "..."):
+            continue
+        if item := re.match(r"\s*-\s+(.*)$", line):
+            if key is None or not (out[key] is None or isinstance(out[key], list)):
+                raise ValueError("a list item without a key")
+            out[key] = [*(out[key] or []), scalar(item[1])]
+        elif entry := re.match(r"([^\s:][^:]*):(?:\s+(.*))?$", line):
+            key, value = scalar(entry[1]), (entry[2] or "").strip()
+            flow = re.fullmatch(r"\[(.*)\](?:\s+#.*)?", value)
+            out[key] = [scalar(x) for x in re.findall(r"'[^']*'|\"[^\"]*\"|[^,\s][^,]*", flow[1])] if flow else scalar(value)
+        else:
+            raise ValueError(f"not understood: {line.strip()[:40]}")
+    return out
+
+
+def split_rows(content: dict) -> list[tuple[str, str, int]]:
+    """(subset, stem, ord) of the entries of train, test and val sections, by any of their names; other keys are settings."""
+    out = []
+    for name, entries in content.items():
+        words = re.sub(r"[ _]?(?:set|videos)$", "", str(name).strip().lower())
+        if words in SECTIONS and isinstance(entries, list):
+            out += [(SECTIONS[words], re.sub(r"\.[^./]*$", "", str(x).strip().rsplit("/", 1)[-1]) if re.search(r"\.(?:mp4|avi|mov|mkv)$", str(x).strip(), re.I) else str(x).strip().rsplit("/", 1)[-1], k) for k, x in enumerate(entries)]
+    return out
+
+
+def read_splits(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content, signature) of split files: canonical JSON of what each holds, and its SHA-256. Tasks read the files whole."""
+    import json
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            content = [json.dumps(split_content(t, p.lower().endswith((".yaml", ".yml"))), sort_keys=True, separators=(",", ":"), default=str) for p, t in zip(pdf["path"], pdf["value"], strict=True)]
+            yield pd.DataFrame({"path": pdf["path"], "content": content})
+
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return files.mapInPandas(read, "path string, content string").withColumn("signature", F.sha2("content", 256))
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return parse_split(lines)
+    """(subset, stem, ord) of one split file, YAML or legacy text by its name. Without a section of videos it is an error."""
+    text = spark.read.text(path, wholetext=True).first()
+    rows = split_rows(split_content(text.value if text else "", path.lower().endswith((".yaml", ".yml"))))
+    if not rows and not (text and re.search(r"(?im)^\s*(train|test|val)", text.value)):
+        raise ValueError(f"{path} has no section of videos")
+    return spark.createDataFrame(rows, "subset string, stem string, ord int")
+
+
+def resolve_splits(recorded: DataFrame, splits: DataFrame, column: str) -> DataFrame:
+    """``recorded`` with ``<column>`` resolved to a signature of ``splits`` (path, signature): the same path, else that below the last folder ``splits/``; null if there is neither."""
+    tail = lambda c: F.regexp_extract(c, "(?:^|/)splits/(.*)$", 1)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    known = splits.select(plain(F.col("path")).alias("split_at"), "signature")
+    below = known.select(tail(F.col("split_at")).alias("split_tail"), "signature").where("split_tail <> ''").groupBy("split_tail").agg(F.min("signature").alias("by_tail"))
+    out = recorded.join(known, plain(F.col(column)) == F.col("split_at"), "left").join(below, tail(F.col(column)) == F.col("split_tail"), "left")
+    return out.select(*recorded.columns, F.coalesce("signature", "by_tail").alias(column.removesuffix("_path") + "_signature"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
+
+
+def first_existing(spark: SparkSession, folder: str, names: tuple[str, ...]) -> str:
+    """The first of the names that ``folder`` has; a path that already ends in one of them is itself."""
+    if folder.rstrip("/").endswith(names):
+        return folder
+    for name in names:
+        if _exists(spark, f"{folder.rstrip('/')}/{name}"):
+            return f"{folder.rstrip('/')}/{name}"
+    raise ValueError(f"none of {', '.join(names)} in {folder}")
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet or CSV frame predictions."""
-    df = spark.read.csv(path, header=True, inferSchema=False) if path.endswith(".csv") else spark.read.parquet(path)
-    return require(df.withColumnsRenamed({"__stem__": "stem", "__frame__": "frame"}), ["stem", "frame"], "predictions").withColumn("frame", F.col("frame").cast("int"))
+    """Frame predictions of a Parquet or CSV table, or of a folder that holds one as ``frame_predictions``; probabilities and labels as numbers."""
+    if not path.lower().endswith((".csv", ".parquet")) and not _exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        path = first_existing(spark, path, ("frame_predictions.parquet", "frame_predictions.csv"))
+    df = spark.read.csv(path, header=True) if path.lower().endswith(".csv") else spark.read.parquet(path)
+    df = require(df.withColumnsRenamed({"__stem__": "stem", "__frame__": "frame"}), ["stem", "frame"], "predictions")
+    kinds = {"prob": "double", "true": "int", "pred": "int"}
+    typed = {c: F.col(c).try_cast("double").cast(kinds[c.split("_")[0]]) for c in df.columns if c.split("_")[0] in kinds}
+    return df.withColumns({"frame": F.col("frame").cast("int"), **typed})
+
+
+def infer_behaviors(predictions: DataFrame) -> list[str]:
+    """The behaviours of ``prob_`` columns, sorted; none is an error."""
+    found = sorted(c.removeprefix("prob_") for c in predictions.columns if c.startswith("prob_"))
+    if not found:
+        raise ValueError("no prob_<behavior> columns")
+    return found
+
+
+def unpivot_predictions(predictions: DataFrame) -> DataFrame:
+    """(stem, frame, behavior, prob), a row for each behaviour of a frame."""
+    names = infer_behaviors(predictions)
+    return predictions.select("stem", "frame", *[F.col(f"prob_{b}").alias(b) for b in names]).unpivot(["stem", "frame"], names, "behavior", "prob")
+
+
+def subset_predictions(predictions: DataFrame, stems: list[str] | None = None, behaviors: list[str] | None = None) -> DataFrame:
+    """The rows of some videos and the columns of some behaviours; an unknown behaviour, or no row left, is an error."""
+    if unknown := sorted(set(behaviors or []) - set(infer_behaviors(predictions))):
+        raise ValueError(f"unknown behaviors {unknown}")
+    out = predictions if stems is None else predictions.where(F.col("stem").isin(stems))
+    if behaviors is not None:
+        own = {f"{kind}_{b}" for kind in ("true", "prob", "pred") for b in behaviors}
+        out = out.select(*[c for c in out.columns if c in own or not c.startswith(("true_", "prob_", "pred_"))])
+    if out.isEmpty():
+        raise ValueError("no predictions are left")
+    return out
+
+
+def time_axis(fps: float | None = None, frame: str = "frame"):
+    """Seconds of a frame; without a frame rate, its number."""
+    return F.col(frame).cast("double") if fps is None else F.col(frame) / F.lit(float(fps))
 
 
 def read_sweep(spark: SparkSession, path: str) -> DataFrame:
-    """Sweep rows that name a manifest or the keys of their split."""
-    return sweep_rows(spark.read.csv(path, header=True))
+    """The rows of a sweep that name a manifest or the keys of their split: of its results summary, else of its plan."""
+    return sweep_rows(spark.read.csv(first_existing(spark, path, ("results_summary.csv", "experiment_plan.csv")), header=True))
 
 
 def sweep_rows(df: DataFrame) -> DataFrame:
@@ -122,12 +258,23 @@ def threshold_map_problems(mapped: DataFrame, keys: list[str]) -> DataFrame:
     return bad.unionByName(mapped.groupBy(*keys).count().where("count > 1").select(*keys, F.lit("repeated").alias("problem")))
 
 
-def load_batch(rows: DataFrame, label: str, behavior: str, checkpoint_policy: str) -> DataFrame:
-    """The successful rows of a behaviour with their batch's label and policies and the signature of their split paths."""
-    from gaitline.operators.selection import successful, threshold_policy
+def load_batch(rows: DataFrame, splits: DataFrame, label: str, behavior: str | None, checkpoint_policy: str, keys: tuple[str, ...] = ("outer_id", "inner_seed", "behavior", "subset", "level")) -> DataFrame:
+    """The successful rows of a behaviour with their batch's label and policies, and signatures of what their two splits hold.
 
-    signature = F.sha2(F.to_json(F.array("split_path", "val_split_path")), 256)
-    return successful(rows.where(F.col("behavior") == behavior)).withColumns({"batch": F.lit(label), "checkpoint_policy": F.lit(checkpoint_policy), "threshold_policy": threshold_policy(), "split_signature": signature})
+    ``splits``: (path, signature) as of :func:`read_splits`. No rows, repeated keys or a split that isn't found are errors.
+    """
+    from gaitline.operators.selection import duplicates, successful, threshold_policy
+
+    rows = successful(rows if behavior is None else rows.where(F.col("behavior") == behavior))
+    if rows.isEmpty():
+        raise ValueError(f"batch {label} has no successful rows")
+    if not duplicates(rows, [k for k in keys if k in rows.columns]).isEmpty():
+        raise ValueError(f"batch {label} has repeated keys")
+    for c in ("split_path", "val_split_path"):
+        rows = resolve_splits(rows, splits, c)
+    if not rows.where("split_signature is null or val_split_signature is null").isEmpty():
+        raise ValueError(f"batch {label} names split files that are not there")
+    return rows.withColumns({"batch": F.lit(label), "checkpoint_policy": F.lit(checkpoint_policy), "threshold_policy": threshold_policy()})
 
 
 def write_by_stem(df: DataFrame, path: str) -> None:
