@@ -1,11 +1,11 @@
 """Main text of web pages by line-block distribution (operator 9).
 
-A page becomes lines: one for each block element, with markup stripped. Menus, notices,
-forms and the like (by element or by the words of class, id and role) leave blank lines,
-and so do lines that are mostly links. The length of the text in a window that slides
-over the lines surges where the article begins and dives to nothing where it ends; the
-lines between are its text, with the short lines that lead into the surge. Where a page marks
-its article, lines outside count nothing and any line inside is a surge.
+A page becomes lines: one for each block of text, markup stripped, with blank lines where
+containers begin and end. A line weighs what it has of text, up to a bound; a heading, and
+a line of a marked article, weigh more; lines of menus, notices, forms and the like, and
+lines that are mostly links, weigh nothing. The weights in a window that slides over the
+lines surge where the article begins and dive to nothing where it ends: the text between
+is kept where the surge is high enough beside the highest of the page.
 """
 
 from __future__ import annotations
@@ -13,23 +13,64 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from .common import column, text_slices
 
 # Element names by their part in a page, and words of class, id or role that mark what isn't the article.
-RAW = frozenset("script style noscript template textarea title iframe svg math select".split())
-SKIPPED = frozenset("nav footer aside form menu button dialog header head object audio video canvas datalist".split()) | RAW
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe svg math select object audio video canvas datalist".split())
+APART = frozenset("nav footer aside menu dialog button head".split())
+PERHAPS = frozenset("form header".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 LOOSE = frozenset("p li dt dd td th tr option".split())
-NOISE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus respond replies related recommended recommendations widget toolbar pagination pager search skip copyright complementary contentinfo".split())
+BOX = frozenset("address article body center details div fieldset footer form header hgroup html main nav section aside menu dialog head".split())
+LIST = frozenset("blockquote dl figure ol table tbody tfoot thead ul".split())
+BLOCK = BOX | LIST | LOOSE | HEADING | frozenset("caption figcaption hr legend pre summary button".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+NOISE = frozenset("ad ads advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus respond replies related recommended recommendations widget toolbar pagination pager search skip copyright complementary contentinfo".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
 _HINT = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _ENDS = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW}
 
+FULL = 300  # a line's text counts up to so many characters
+SHORT = 300  # a block that its names mark as noise, and under so many characters, is noise
+LEAD = 100  # what a heading weighs more
+MARKED = 800  # what a line of a marked article weighs more: so much that it is a surge beside any other
+WIDTH = 2
+
+
+@dataclass(eq=False)
+class Block:
+    """An open or closed element: what it holds, and why it may not belong to the article."""
+
+    name: str
+    parent: Block | None  # the next block outwards that may be noise
+    sure: bool = False  # by its element
+    noisy: bool = False  # by words of class, id or role
+    first: int = 0  # the number of lines before it
+    lines: int = 0
+    chars: int = 0
+    linked: int = 0
+    closed: bool = False
+    out: bool = False
+
+
+@dataclass
+class Line:
+    text: str
+    linked: int
+    tag: str
+    marked: bool
+    block: Block | None
+    gap: list[Block] = field(default_factory=list)  # the containers that begin or end before it
+
 
 def _noisy(attributes: str, inside: bool) -> bool:
     """Whether a name of class, id or role marks what isn't the article; has-, no- and with- tell of a wrapper, header words within an article of its title."""
@@ -38,26 +79,63 @@ def _noisy(attributes: str, inside: bool) -> bool:
     return bool(words - {"header", "masthead"} if inside else words)
 
 
-def _lines(page: str, exempt: set[int]) -> tuple[list[tuple[str, int, bool]], bool, dict[int, int]]:
-    """Lines (text, characters inside links, whether inside the marked article) of a page; whether it marks one; characters skipped by the words of each block, but those of ``exempt``, by its place."""
-    lines: list[tuple[str, int, bool]] = []
+def page_lines(page: str) -> list[Line]:
+    """The lines of a page in order, with the blocks they lie in."""
+    lines: list[Line] = []
     text: list[str] = []
+    gap: list[Block] = []
+    stack: list[tuple[str, Block | None, bool]] = []  # name, what may be noise from here on, whether it is a block of its own
+    count: dict[str, int] = {}
+    loose: list[int] = []  # places of open p, li and the like
+    boxes: list[int] = []  # places of open containers
     linked = links = article = 0
-    marked = False
-    skip, depth, place = "", 0, -1
-    opened: dict[str, int] = {}
-    inner: dict[str, int] = {}
-    hidden: dict[int, int] = {}
+    tag = ""
     at, size = 0, len(page)
 
+    def inner() -> Block | None:
+        return stack[-1][1] if stack else None
+
     def flush() -> None:
-        nonlocal text, linked
+        nonlocal text, linked, gap
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                lines.append((line, linked, article > 0))
+                block = inner()
+                lines.append(Line(line, linked, tag, article > 0, block, gap))
+                gap = []
+                for k in boxes[-1:]:
+                    holders[k].lines += 1
+                if block is not None:
+                    block.chars += len(line)
+                    block.linked += min(linked, len(line))
             text, linked = [], 0
 
+    holders: dict[int, Block] = {}  # the container at each place of the stack
+
+    def pop(k: int, name: str = "") -> None:
+        """Closes all from place ``k`` on; only the one called ``name`` was closed by itself."""
+        nonlocal article, links
+        while len(stack) > k:
+            own, block, new = stack.pop()
+            count[own] -= 1
+            if own in ("article", "main"):
+                article -= 1
+            elif own == "a":
+                links -= 1
+            if loose and loose[-1] == len(stack):
+                loose.pop()
+            if boxes and boxes[-1] == len(stack):
+                boxes.pop()
+                held = holders.pop(len(stack))
+                gap.append(held)
+                if boxes and held.lines:
+                    holders[boxes[-1]].lines += held.lines
+            if new:
+                block.closed = own == name and len(stack) == k
+                if block.parent is not None:
+                    block.parent.chars += block.chars
+                    block.parent.linked += block.linked
+
     while at < size:
         m = _TOKEN.match(page, at)
         if m is None:  # an open quote runs to the end of the page
@@ -67,118 +145,183 @@ def _lines(page: str, exempt: set[int]) -> tuple[list[tuple[str, int, bool]], bo
         at = m.end()
         name = m.group(2)
         if name is None:
-            if skip and place >= 0:
-                hidden[place] = hidden.get(place, 0) + len(" ".join((m.group(4) or "").split()))
-            if m.group(4) and not skip:
+            if m.group(4):
                 text.append(m.group(4))
-                if links:
+                if links > 0:
                     linked += len(m.group(4).strip())
             continue
         name, closing = name.lower(), bool(m.group(1))
-        if skip:
-            if name in ("article", "main", "body") and not closing or closing and name != skip and opened.get(name) and not inner.get(name):
-                skip = ""  # what was skipped was never closed
-            else:
-                if name == skip:
-                    depth += -1 if closing else (skip not in LOOSE)
-                    ended = depth <= 0 or (not closing and skip in LOOSE)
-                    if ended:
-                        skip = ""
-                        if closing:
-                            continue
-                    else:
-                        continue
-                elif skip in LOOSE and closing and name in BLOCK and name not in LOOSE:
-                    skip = ""
-                else:
-                    if name in BLOCK and name not in LOOSE and name not in VOID:
-                        inner[name] = max(0, inner.get(name, 0) + (-1 if closing else 1))
-                    if name in RAW and not closing and (end := _ENDS[name].search(page, at)):
-                        at = end.end()
-                    continue
+        if name == "br":
+            text.append(" ")
+            continue
         if name in BLOCK:
             flush()
-        elif name == "br":
-            text.append(" ")
         if closing:
-            if opened.get(name):
-                opened[name] -= 1
-            if name == "a":
-                links = 0
-            elif name in ("article", "main"):
-                article = max(0, article - 1)
+            if count.get(name):
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                if any(s[2] for s in stack[k:]):
+                    flush()
+                if name in BLOCK or not boxes or k > boxes[-1]:  # an inline element never closes a container
+                    pop(k, name)
+            tag = "" if name in LOOSE or name in HEADING else tag
             continue
-        if name in ("article", "main"):
-            article, marked = article + 1, True
-        elif name == "a":
-            links = 1
-        elif name in RAW:
+        if name in RAW:
             end = _ENDS[name].search(page, at)
-            at = end.end() if end else size
-        elif name not in VOID and not m.group(3).endswith("/") and name not in ("html", "body") and ((named := name in SKIPPED and not (name == "header" and article)) or (m.start() not in exempt and name in BLOCK | {"span", "a"} and not (name == "header" and article) and _noisy(m.group(3), article > 0))):
-            flush()
-            if not article:
-                lines.append(("", 0, False))
-            skip, depth, inner, place = name, 1, {}, -1 if named else m.start()
+            at = end.end() if end else size if name in ("script", "style") else at
+            continue
+        if name in VOID:
+            continue
+        if name in BLOCK and count.get("head"):  # nothing of a head makes a block
+            pop(next(k for k, s in enumerate(stack) if s[0] == "head"))
+        if name in BLOCK:
+            while loose and loose[-1] > (boxes[-1] if boxes else -1) and (name not in LOOSE or stack[loose[-1]][0] == name or stack[loose[-1]][0] in ("p", "li")):
+                pop(loose[-1])  # a paragraph or list item ends where the next block begins
+                if name in LOOSE and name != "p":
+                    break
+            tag = name if name in LOOSE or name in HEADING else ""
+        if m.group(3).endswith("/"):
             continue
-        if name in BLOCK and name not in LOOSE and name not in VOID:
-            opened[name] = opened.get(name, 0) + 1
+        sure = name in APART or name == "form" or name == "header" and not any(stack[k][0] not in ("html", "body", "form") for k in boxes)
+        noisy = not sure and name not in ("html", "body", "header") and _noisy(m.group(3), article > 0)
+        if noisy:
+            flush()
+        block = Block(name, inner(), sure, noisy, len(lines)) if sure or noisy else inner()
+        stack.append((name, block, sure or noisy))
+        count[name] = count.get(name, 0) + 1
+        place = len(stack) - 1
+        if name in LOOSE:
+            loose.append(place)
+        elif name in BOX or name in LIST:
+            boxes.append(place)
+            holders[place] = Block(name, block)
+            gap.append(holders[place])
+        if name in ("article", "main"):
+            article += 1
+        elif name == "a":
+            links += 1
     flush()
-    return lines, marked, hidden
+    pop(0)
+    return lines
+
+
+def _blanks(gap: list[Block]) -> int:
+    """Blank lines for the containers that begin or end here: half a one for a list or a container of one line."""
+    halves = sum(1 if b.name in LIST or b.lines == 1 else 2 for b in gap if b.lines or b.name in LIST)
+    return (halves + 1) // 2
+
 
+def _blocks(block: Block | None) -> Iterator[Block]:
+    while block is not None:
+        yield block
+        block = block.parent
 
-def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines (text, characters inside links, whether inside the marked article) of a page; whether it marks one.
 
-    Words of class, id and role are weak evidence: a block that holds most of the page's text isn't skipped for them.
+def _judge(lines: list[Line]) -> list[bool]:
+    """Whether each line lies in a block that isn't of the article.
+
+    Elements for menus, footers and the like count at once, unless they were never closed and hold most of
+    the text; forms and headers unless they hold most. The words of class, id and role are weak evidence: such a block
+    goes if it is short, or mostly links, or begins behind the densest place of the page; never if it wraps the page:
+    if it holds all the text, or is long and holds most of it with little before it. Of one that is never closed only the first line goes, as what follows may be the article again. A header
+    counts where it stands in the body itself; within other containers it may be the title's, so the surge decides.
     """
-    exempt: set[int] = set()
-    while True:
-        lines, marked, hidden = _lines(page, exempt)
-        total = sum(len(t) for t, _, _ in lines) + sum(hidden.values())
-        most = {at for at, n in hidden.items() if 2 * n > total}
-        if not most:
-            return lines, marked
-        exempt |= most
+    total = sum(len(x.text) for x in lines)
+    for x in lines:
+        for b in _blocks(x.block):
+            most = 2 * b.chars > total and b.chars >= SHORT and 2 * b.linked < b.chars
+            b.out = b.sure and not (most and (b.name in PERHAPS or not b.closed))
+            if b.sure and b.out:
+                break
+    before = [0, *accumulate(0 if any(b.out for b in _blocks(x.block)) else len(x.text) for x in lines)]
+    left = before[-1]
 
+    def wrapper(b: Block) -> bool:
+        return b.chars == left or 2 * b.chars > left and b.chars >= SHORT > before[b.first]
 
-def extract(page: str | None, width: int = 3, surge: int = 86) -> str:
-    """The article of a page: its blocks, joined by an empty line; "" for a page without text."""
-    lines, marked = page_lines(page or "")
-    own = [len(t) if t and (inside or not marked) and (inside or 2 * linked <= len(t)) else 0 for t, linked, inside in lines]
-    n = len(own)
-    sums = [sum(own[k : k + width]) for k in range(n)]
-    bar = 0 if marked else min(surge, max(sums, default=0) // 2)
-    kept: list[str] = []
-    k = 0
+    plain = [0 if any(b.out or (b.noisy and not wrapper(b)) for b in _blocks(x.block)) else min(FULL, max(0, len(x.text) - x.linked)) for x in lines]
+    dense = max(range(len(lines)), key=lambda k: sum(plain[k : k + WIDTH]), default=0)
+    seen: set[int] = set()
+    for x in lines:
+        for b in _blocks(x.block):
+            if not b.noisy or id(b) in seen:
+                continue
+            seen.add(id(b))
+            if wrapper(b):
+                continue
+            b.out = b.chars < SHORT or 2 * b.linked >= b.chars or b.first > dense
+    return [any(b.out and (b.sure or b.closed or k == b.first) for b in _blocks(x.block)) for k, x in enumerate(lines)]
+
+
+def weighed(lines: list[Line]) -> tuple[list[str], list[int]]:
+    """The distribution: texts ("" for a blank line and for links that are never kept) and their weights.
+
+    What lies in blocks that are not of the article leaves no trace, so that a notice within the text does not cut it.
+    """
+    texts: list[str] = []
+    weights: list[int] = []
+    gap: list[Block] = []
+    for x, out in zip(lines, _judge(lines), strict=True):
+        gap += [b for b in x.gap if not any(c.out for c in _blocks(b.parent))]
+        if out:
+            continue
+        blanks, gap = _blanks(gap), []
+        mostly_links = 2 * x.linked > len(x.text)
+        never = mostly_links and x.tag != "p" and x.tag not in HEADING
+        texts += [""] * (blanks + never)
+        weights += [0] * (blanks + never)
+        if never:
+            continue
+        faint = any(b.noisy for b in _blocks(x.block)) and not x.marked
+        own = 0 if mostly_links else min(FULL, len(x.text)) // (4 if faint else 1) + (LEAD if x.tag in HEADING else 0) + (MARKED if x.marked else 0)
+        texts.append(x.text)
+        weights.append(own)
+    return texts, weights
+
+
+def surges(weights: list[int], width: int = WIDTH, share: float = 1 / 3) -> list[tuple[int, int]]:
+    """Ranges of lines from a surge to its dive: where the sums over ``width`` lines stay above nothing, and reach ``share`` of the greatest sum.
+
+    A lower range between two of these belongs to the text as well.
+    """
+    n = len(weights)
+    sums = [sum(weights[k : k + width]) for k in range(n)]
+    bar = share * max(sums, default=0)
+    ranges, k = [], 0
     while k < n:
-        if not own[k] or sums[k] <= bar:
+        if not sums[k]:
             k += 1
             continue
         begin = k
-        while begin and own[begin - 1] and k - begin < width:  # the short lines that lead into the surge
-            begin -= 1
-        kept += [lines[j][0] for j in range(begin, k)]
-        while k < n and sums[k]:  # until the dive
-            if own[k]:
-                kept.append(lines[k][0])
+        while k < n and sums[k]:
             k += 1
+        ranges.append((begin, min(n, k + width - 1), max(sums[begin:k]) >= bar))
+    high = [k for k, r in enumerate(ranges) if r[2]]
+    return [r[:2] for r in ranges[high[0] : high[-1] + 1]] if high else []
+
+
+def extract(page: str | None) -> str:
+    """The article of a page: its blocks, joined by an empty line; "" for a page without text."""
+    texts, weights = weighed(page_lines(page or ""))
+    kept = [texts[k] for a, b in surges(weights) for k in range(a, b) if texts[k]]
     return "\n\n".join(kept)
 
 
 def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
     """``keep`` columns, ``text`` (never null) and ``n_chars``, one row per page.
 
-    A missing or empty page gives "" and 0. Broken markup is read as far as it goes.
-    Repeated rows give equal rows; other columns are not read. No shuffle.
+    A missing or empty page gives "" and 0; a page is read whole, however long. Broken
+    markup is read as far as it goes. Repeated rows give equal rows, an empty table an
+    empty one; other columns are not read, whatever their names. No shuffle.
     """
-    schema = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep) + "text string, n_chars long"
+    rows = pages.select(*map(column, (*keep, html_col)))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                texts = [extract(h) for h in part.column(len(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
+        for part in text_slices(batches, len(keep), 1 << 21):
+            texts = [extract(h) for h in part.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
 
-    return pages.select(*keep, html_col).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
