@@ -1,24 +1,29 @@
 """Approximate nearest neighbours by vantage-point trees (operator 6).
 
-The vectors are dealt by their id into shards of bounded size, each with its own tree.
 Nearness is the inner product; a coordinate that fills every vector up to the largest
-norm turns it into Euclidean distance, for which the triangle inequality prunes. A
-subtree is skipped when its shell of distances lies further from the query's than the
+norm turns it into Euclidean distance, for which the triangle inequality prunes. The
+vectors are dealt to the nearest of a bounded number of pivots; each pivot's vectors, in
+parts of bounded size, have trees of their own. A query first searches its own pivot's trees,
+then those of pivots whose ball of vectors may hold something nearer. A ball, and inside a
+tree a shell of distances, is skipped when it lies further from the query than the
 distance of the k-th neighbour so far divided by ``factor``: 1 restores exact search.
-Queries visit every shard, in blocks; the best of all shards win.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import column, materialize
 
 LEAF = 48
+_SAMPLE_BYTES = 1 << 25
+_SLACK = 1e-7  # of the largest norm: what rounding may add to a distance
 
 
 class VPTree:
@@ -66,9 +71,13 @@ class VPTree:
         self.nodes[me] = (vantage, far[inner].min(), far[inner].max(), far[outer].min(), far[outer].max(), a, b)
         return me
 
-    def search(self, names: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids (n, k) of the nearest found to each query, its own id left out; -inf where there are fewer."""
+    def search(self, names: np.ndarray, queries: np.ndarray, k: int, factor: float, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids (n, k) of the nearest found to each query, its own id left out; -inf where there are fewer.
+
+        ``bound``: the score of each query's k-th neighbour found elsewhere, -inf for none.
+        """
         n = len(queries)
+        bound = np.full(n, -np.inf) if bound is None else bound
         best, found = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
         norm = (queries**2).sum(axis=1)
         scanned = np.zeros(len(self.nodes), object)
@@ -113,51 +122,145 @@ class VPTree:
                 continue
             vantage, ilo, ihi, olo, ohi, a, b = parts
             d = away(q, vantage)
-            reach = np.sqrt(np.maximum(self.most + norm[q] - 2 * best[q, -1], 0)) / factor + 1e-9
+            reach = np.sqrt(np.maximum(self.most + norm[q] - 2 * np.maximum(best[q, -1], bound[q]), 0)) / factor + _SLACK * (1 + self.most**0.5)
             stack += [(a, q[(d <= ihi + reach) & (d >= ilo - reach)]), (b, q[(d <= ohi + reach) & (d >= olo - reach)])]
         return best, found
 
 
-def neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, factor: float = 2.0, shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
+class Pivots:
+    """The pivots of each length of vectors, and the distances of vectors to them. A length without pivots has one place, 0."""
+
+    def __init__(self, found: dict[int, np.ndarray], most: float):
+        self.most = most
+        self.rows = {d: (v, np.sqrt(np.maximum(most - (v**2).sum(axis=1), 0))) for d, v in found.items() if len(v)}
+
+    def away(self, dim: int, vectors: np.ndarray, query: bool) -> np.ndarray | None:
+        """Distances (n, pivots) of vectors, with their filling coordinate, or of queries, where it is 0."""
+        if dim not in self.rows:
+            return None
+        pivots, fill = self.rows[dim]
+        square = (vectors**2).sum(axis=1)
+        own = np.zeros(len(vectors)) if query else np.sqrt(np.maximum(self.most - square, 0))
+        dot = vectors @ pivots.T + np.outer(own, fill)
+        return np.sqrt(np.maximum(self.most + (square + own**2)[:, None] - 2 * dot, 0))
+
+
+def _by_length(pdf: pd.DataFrame):
+    """(length, row numbers, matrix) of the vectors of each length in a batch."""
+    for dim, part in pdf.groupby("dim", sort=False):
+        yield int(dim), part.index.to_numpy(), np.array(part["v"].tolist(), float)
+
+
+def neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, factor: float = 2.0, shard_rows: int = 8192, block_rows: int = 1024, most_pivots: int = 1024, sample_rows: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row, by inner product, ties to the smaller id.
 
     ``is_query``: condition on ``vectors`` that marks queries. Vectors that are null, all
     zero, or hold a null or a component that is not finite take no part, nor do missing
     ids. Rows that repeat id and vector count once; a query never finds rows of its id. A
-    query with fewer candidates gets them all. Queries find vectors of their length.
-    Every row is indexed; the groups that tasks hold have about ``shard_rows`` vectors and
-    ``block_rows`` queries, whatever the input's size.
+    query with fewer candidates gets them all. Queries find vectors of their length, however long. An
+    empty table gives an empty one; other columns are not read, whatever their names.
+
+    The pivots, one for each ``shard_rows`` vectors but ``most_pivots`` at most, come from a sample of about
+    ``sample_rows`` vectors, of 32 MB at most; every row is indexed, but of equal vectors only the k + 1 of the
+    smallest ids, as no others can be among the nearest. A group that a task holds has about ``shard_rows``
+    vectors and ``block_rows`` queries, whatever the input's size: a tree goes to as many blocks as the queries that visit it fill.
     """
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    rows = rows.groupBy("id", "v").agg(F.max("q").alias("q")).withColumn("dim", F.size("v"))
-    n, n_queries, most = rows.agg(F.count(F.lit(1)), F.count_if("q"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-(n_queries or 0) // block_rows))
-    most = float(most or 0.0)
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
+    value = F.transform(column(vector_col), lambda x: x.cast("double"))
+    finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = column(id_col).isNotNull() & column(vector_col).isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(value, lambda x: x != 0)
+    rows = vectors.where(usable).select(column(id_col).cast("long").alias("id"), value.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    rows = materialize(rows.groupBy("id", "v").agg(F.max("q").alias("q")).withColumn("dim", F.size("v")), "vectors")
+    n, cells, most = rows.agg(F.count(F.lit(1)), F.sum("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
+    most, wanted = float(most or 0.0), min(most_pivots, max(1, -(-n // shard_rows)))
+    sample_rows = max(1, min(sample_rows, (_SAMPLE_BYTES // 8) * n // max(cells or 0, 1)))
+    sample = rows.where(F.pmod(F.xxhash64("id", "v", F.lit(2)), F.lit(1 << 20)) < min(1 << 20, (sample_rows << 20) // max(n, 1) + 1)).select("dim", "v").toPandas()
+    spark, pivots = vectors.sparkSession, Pivots({d: _spread(m, max(1, round(wanted * len(m) / len(sample)))) for d, _, m in _by_length(sample)}, most)
+    shared = spark.sparkContext.broadcast(pivots)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            place, far = np.zeros(len(pdf), np.int32), np.zeros(len(pdf))
+            for dim, at, matrix in _by_length(pdf.reset_index(drop=True)):
+                away = shared.value.away(dim, matrix, False)
+                if away is not None:
+                    place[at] = away.argmin(axis=1)
+                    far[at] = away.min(axis=1)
+            yield pdf.assign(place=place, far=far)
+
+    dealt = materialize(rows.mapInPandas(deal, "id long, v array<double>, q boolean, dim int, place int, far double"), "dealt")
+    least = Window.partitionBy("dim", "v").orderBy("id")
+    indexed = dealt.withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= k + 1).drop("nth")
+    indexed = materialize(indexed.select("id", "v", "dim", "place", "far"), "indexed")
+    # One row for each pivot: how many parts its vectors make, and their furthest distance from it.
+    places = indexed.groupBy("dim", "place").agg(F.count(F.lit(1)).alias("m"), F.max("far").alias("radius")).toPandas()
+    places["parts"] = -(-places["m"] // shard_rows)
+    parts = F.broadcast(spark.createDataFrame([tuple(map(int, r)) for r in places[["dim", "place", "parts"]].to_numpy()], "dim int, place int, parts int"))
+    radius = {d: np.array([p["radius"].get(j, -1.0) for j in range(len(pivots.rows[d][0]) if d in pivots.rows else 1)]) for d, p in ((int(d), g.set_index("place")) for d, g in places.groupby("dim"))}
+    keys = ["dim", "place", "part"]
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = VPTree(pdf["id"].to_numpy(np.int64), np.array(pdf["v"].tolist(), float), most, k + 1)
-        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "tree": [pickle.dumps(tree, protocol=5)]})
+        return pdf[keys].head(1).assign(tree=[pickle.dumps(tree, protocol=5)])
 
-    trees = dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary")
-    trees = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = rows.where("q").select("id", "v", "dim", F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    split = indexed.join(parts, ["dim", "place"]).withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int"))
+    trees = materialize(split.select("id", "v", *keys).groupBy(*keys).applyInPandas(build, "dim int, place int, part int, tree binary"), "trees")
 
     def search(queries: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(tree):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         names, own = queries["id"].to_numpy(np.int64), np.array(queries["v"].tolist(), float)
-        score, found = pickle.loads(tree["tree"].iloc[0]).search(names, own, k, factor)
+        score, found = pickle.loads(tree["tree"].iloc[0]).search(names, own, k, factor, queries["bound"].to_numpy(float))
         hit = ~np.isneginf(score)
         return pd.DataFrame({"query_id": np.repeat(names, hit.sum(axis=1)), "vec_id": found[hit], "score": score[hit]})
 
-    keys = ["dim", "shard", "block"]
-    got = asked.groupBy(*keys).cogroup(trees.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-    from pyspark.sql import Window
+    def visit(asked: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score) of queries (id, v, bound, dim, place) in all parts of their place."""
+        asked = asked.join(parts, ["dim", "place"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        blocks = asked.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+        asked = asked.join(blocks, keys).withColumn("block", F.pmod(F.xxhash64("id", "v", F.lit(1)), F.col("blocks")).cast("int")).drop("blocks")
+        copies = trees.join(blocks, keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        every = [*keys, "block"]
+        return asked.groupBy(*every).cogroup(copies.groupBy(*every)).applyInPandas(search, "query_id long, vec_id long, score double")
+
+    def nearest(got: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    queries = dealt.where("q").select("id", "v", "dim", "place")
+    near = materialize(nearest(visit(queries.withColumn("bound", F.lit(float("-inf"))))).drop("rank"), "near")
+    bounds = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf, others = pdf.reset_index(drop=True), [np.zeros(0, np.int32)] * len(pdf)
+            bound = pdf["bound"].to_numpy(float)
+            for dim, at, matrix in _by_length(pdf):
+                away = shared.value.away(dim, matrix, True)
+                if away is None:
+                    continue
+                reach = np.sqrt(np.maximum(most + (matrix**2).sum(axis=1) - 2 * np.where(np.isnan(bound[at]), -np.inf, bound[at]), 0)) / factor + _SLACK * (1 + most**0.5)
+                open_ = (away - radius[dim] <= reach[:, None]) & (radius[dim] >= 0)
+                open_[np.arange(len(at)), pdf["place"].to_numpy()[at]] = False
+                for r, row in zip(at, open_, strict=True):
+                    others[r] = np.flatnonzero(row).astype(np.int32)
+            yield pdf.assign(places=others)
+
+    bounded = queries.join(bounds, F.col("id") == F.col("query_id"), "left").drop("query_id")
+    routed = bounded.mapInPandas(route, "id long, v array<double>, dim int, place int, bound double, places array<int>")
+    further = routed.select("id", "v", "dim", F.explode("places").alias("place"), F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    got = near.unionByName(visit(materialize(further, "further"))).distinct()
+    return nearest(got).select("query_id", "rank", "vec_id", "score")
+
 
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return got.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def _spread(rows: np.ndarray, wanted: int) -> np.ndarray:
+    """Up to ``wanted`` of the rows, each the furthest from those before among some that a fixed seed draws."""
+    rng, chosen = np.random.default_rng(7), []
+    near = np.full(len(rows), np.inf)
+    for _ in range(min(wanted, len(rows))):
+        tries = rng.choice(len(rows), min(16, len(rows)), replace=False)
+        at = tries[int(np.argmax(near[tries]))]
+        if chosen and near[at] == 0:
+            continue
+        chosen.append(rows[at])
+        near = np.minimum(near, ((rows - rows[at]) ** 2).sum(axis=1))
+    return np.array(chosen)
