@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize
+from .common import column, fresh, materialize, text_slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 # The four forms of the contract.
@@ -40,10 +40,15 @@ _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-MENTION = "mentions array<struct<kind:string,surface:string,start:int,end:int,left1:string,left2:string,right1:string>>"
+MENTIONS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("surface", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), *(T.StructField(c, T.StringType()) for c in ("left1", "left2", "right1"))]))
+_CHUNK = 1 << 20  # bytes of text at a time
 _MENTION = pa.list_(pa.struct([("kind", pa.string()), ("surface", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("left1", pa.string()), ("left2", pa.string()), ("right1", pa.string())]))
 
 
+def _text_key(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _luhn(digits: str) -> bool:
     back = [ord(c) - 48 for c in reversed(digits)]
     return (sum(back[::2]) + sum(_DOUBLED[d] for d in back[1::2])) % 10 == 0
@@ -145,32 +150,30 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, ``text_key`` (SHA-256 of the text), ``base`` spans and ``mentions`` of each row. No shuffle."""
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, text_key string, base {SPAN.simpleString()}, {MENTION}"
+    rows = docs.select(column(id_col), column(text_col))
+    schema = T.StructType([rows.schema[0], T.StructField("text_key", T.StringType()), T.StructField("base", SPAN), T.StructField("mentions", MENTIONS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                keys, base, found = [], [], []
-                for t in part.column(1).to_pylist():
-                    t = t or ""
-                    spans = base_spans(t)
-                    keys.append(hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest())
-                    base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                    found.append(mentions(t, spans))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.string()), pa.array(base, _SPAN), pa.array(found, _MENTION)], names=[id_col, "text_key", "base", "mentions"])
+        for part in text_slices(batches, 1, _CHUNK):
+            keys, base, found = [], [], []
+            for t in texts_of(part.column(1)):
+                spans = base_spans(t)
+                keys.append(_text_key(t))
+                base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
+                found.append(mentions(t, spans))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.string()), pa.array(base, _SPAN), pa.array(found, _MENTION)], names=[f.name for f in schema.fields])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def score_graph(found: DataFrame, rounds: int | None = None, least_seeds: int = 3, sure: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Patterns (kind, side, words, confidence) that are sure and instances (surface, kind, confidence) of mention rows.
 
     An edge joins a surface to each pattern beside it: the two words on the left, or the
-    word on the left with the one on the right. A pattern of a kind has at least
-    ``least_seeds`` different seeds of that kind; its confidence is the share of the kind
-    among its known surfaces. Known are the seeds and the instances found so far: a surface
-    of no kind yet has no vote. An instance has 1 minus the product of the doubts of all
+    word on the left with the one on the right. Known are the seeds and the instances found so far: a surface of
+    no kind yet has no vote. A pattern of a kind has at least ``least_seeds`` different known surfaces of that kind, so
+    that what one round finds induces the patterns of the next; its confidence is the share of the kind
+    among its known surfaces. An instance has 1 minus the product of the doubts of all
     its patterns, sure or not, and is found, for good, when its surest kind gets to
     ``sure``. Rounds go on until one finds nothing (``rounds`` may bound them).
     Surfaces count once for each pattern, so copies of a document add nothing. Edges are
@@ -180,53 +183,55 @@ def score_graph(found: DataFrame, rounds: int | None = None, least_seeds: int =
         F.struct(F.lit("left").alias("side"), F.concat_ws(" ", "left2", "left1").alias("words"), (F.col("left2") != "").alias("full")),
         F.struct(F.lit("around").alias("side"), F.concat_ws(" _ ", "left1", "right1").alias("words"), ((F.col("left1") != "") & (F.col("right1") != "")).alias("full")),
     ))
-    pattern = ["side", "words", "pkind"]
+    place, pattern = ["side", "words"], ["side", "words", "pkind"]
     edges = found.select("surface", "kind", edge.alias("e")).where("e.full").groupBy("surface", "e.side", "e.words").agg(F.max("kind").alias("seed"))
-    # Only patterns that at least least_seeds different seeds of one kind support count.
-    of_kind = edges.where("seed is not null").groupBy("side", "words", F.col("seed").alias("pkind")).agg(F.count(F.lit(1)).alias("yes"))
-    every = of_kind.groupBy("side", "words").agg(F.sum("yes").alias("all"))
-    strong = materialize(of_kind.where(F.col("yes") >= least_seeds).join(every, ["side", "words"]), "pii-patterns")
-    graph = materialize(edges.where("seed is null").drop("seed").join(strong.select(*pattern), ["side", "words"]), "pii-graph")
-    known, patterns, done = None, strong.select(*pattern, (F.col("yes") / F.col("all")).alias("confidence")), 0
+    # Only where at least least_seeds different surfaces stand can a pattern ever be.
+    often = edges.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_seeds).drop("n")
+    graph = materialize(edges.join(often, place), "pii-graph")
+    votes = materialize(graph.where("seed is not null").groupBy(*place, F.col("seed").alias("pkind")).agg(F.count(F.lit(1)).alias("yes")), "pii-votes")
+    unseen, known, done = graph.where("seed is null").drop("seed"), None, 0
     while True:
-        left = graph if known is None else graph.join(known.select("surface"), "surface", "left_anti")
+        every = votes.groupBy(*place).agg(F.sum("yes").alias("all"))
+        patterns = votes.where(F.col("yes") >= least_seeds).join(every, place).select(*pattern, (F.col("yes") / F.col("all")).alias("confidence"))
+        left = unseen if known is None else unseen.join(known.select("surface"), "surface", "left_anti")
         doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
-        belief = left.join(patterns, pattern).groupBy("surface", "pkind").agg(F.round(1 - F.exp(doubt), 9).alias("confidence"))
+        belief = left.join(patterns, place).groupBy("surface", "pkind").agg(F.round(1 - F.exp(doubt), 9).alias("confidence"))
         best = belief.groupBy("surface").agg(F.max(F.struct("confidence", F.col("pkind").alias("kind"))).alias("b")).where(F.col("b.confidence") >= sure)
         new = materialize(best.select("surface", "b.kind", "b.confidence"), "pii-belief")
         known, done, ended = (new if known is None else known.unionByName(new)), done + 1, new.isEmpty()
         if ended or done == rounds:
             break
-        votes = graph.join(known.select("surface", "kind"), "surface").groupBy(*pattern).agg(F.count_if(F.col("kind") == F.col("pkind")).alias("more"), F.count(F.lit(1)).alias("voters"))
-        share = (F.col("yes") + F.coalesce("more", F.lit(0))) / (F.col("all") + F.coalesce("voters", F.lit(0)))
-        patterns = strong.join(votes, pattern, "left").select(*pattern, share.alias("confidence"))
+        more = unseen.join(new.select("surface", F.col("kind").alias("pkind")), "surface").groupBy(*pattern).agg(F.count(F.lit(1)).alias("yes"))
+        votes = materialize(votes.unionByName(more).groupBy(*pattern).agg(F.sum("yes").alias("yes")), "pii-votes")
     return patterns.where(F.col("confidence") >= sure).withColumnRenamed("pkind", "kind"), known
 
 
+def discovered(scanned: DataFrame, rounds: int | None = None, least_seeds: int = 3, sure: float = 0.8) -> DataFrame:
+    """(own_id, own_key, extra): the spans beyond the base ones of each id and text of :func:`scan` that has any."""
+    found = scanned.where(F.size("mentions") > 0).select(F.col(scanned.columns[0]).alias("own_id"), F.col("text_key").alias("own_key"), F.explode("mentions").alias("m")).select("own_id", "own_key", "m.*")
+    _, belief = score_graph(found, rounds, least_seeds, sure)
+    best = belief.select(F.col("surface").alias("known"), F.col("kind").alias("found_kind"))
+    # Of nested places the widest stays: a run of digit groups takes the place of the tokens in it.
+    wider = Window.partitionBy("own_id", "own_key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    places = found.where("kind is null").join(best, F.col("surface") == F.col("known")).select("own_id", "own_key", F.col("found_kind").alias("kind"), "start", "end").distinct()
+    widest = places.withColumn("reach", F.max("end").over(wider)).where("reach is null or reach < end")
+    return widest.groupBy("own_id", "own_key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("extra"))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None, least_seeds: int = 3, sure: float = 0.8) -> DataFrame:
     """id, ``text_key``, ``base`` and ``spans`` (base and discovered ones, by kind as listed, then start), one row per row of ``docs``.
 
     A missing text counts as empty: no spans. A discovered span has the kind that its
-    patterns make surest, and never overlaps a base span. Rows that repeat give equal rows; other
-    columns are not read. Only mentions, never whole texts, are shuffled.
+    patterns make surest, and never overlaps a base span. Rows that repeat give equal rows, an empty table
+    an empty one; other columns are not read. Only mentions, never whole texts, are shuffled.
     """
     scanned = materialize(scan(docs, id_col, text_col), "pii-scan")
-    found = scanned.where(F.size("mentions") > 0).select(id_col, "text_key", F.explode("mentions").alias("m")).select(id_col, "text_key", "m.*")
-    patterns, belief = score_graph(found, rounds, least_seeds, sure)
-    best = belief.select(F.col("surface").alias("__surface"), F.col("kind").alias("found_kind"))
-    # Of nested places the widest stays: a run of digit groups takes the place of the tokens in it.
-    wider = Window.partitionBy("__id", "__key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    extra = (
-        found.where("kind is null").join(best, F.col("surface") == F.col("__surface"))
-        .select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"), F.col("found_kind").alias("kind"), "start", "end").distinct()
-        .withColumn("reach", F.max("end").over(wider)).where("reach is null or reach < end")
-        .groupBy("__id", "__key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("extra"))
-    )
-    joined = scanned.drop("mentions").join(extra, scanned[id_col].eqNullSafe(F.col("__id")) & (scanned["text_key"] == F.col("__key")), "left")
+    extra = discovered(scanned, rounds, least_seeds, sure)
+    joined = scanned.drop("mentions").join(extra, column(id_col).eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")), "left")
     both = F.concat("base", F.coalesce("extra", F.array().cast(SPAN)))
     place = F.transform(both, lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     ordered = F.transform(F.array_sort(place), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return joined.select(id_col, "text_key", "base", ordered.alias("spans"))
+    return joined.select(column(id_col), "text_key", "base", ordered.alias("spans"))
 
 
 def _joined(spans: str):
@@ -240,23 +245,37 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = 8 << 20, **options) -> DataFrame:
-    """``docs`` with every span in ``text_col`` replaced by its kind in angle brackets; other columns stay as they are.
+def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """``text`` with its spans replaced by their kinds in angle brackets; overlapping ones as one, by the kind of the first."""
+    out, at = [], 0
+    for start, end, kind in sorted((a, b, k) for k, a, b in spans):
+        if start >= at:
+            out += [text[at:start], f"<{kind.upper()}>"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_spans: int = 100_000, **options) -> DataFrame:
+    """``docs`` with every span in ``text_col`` replaced by its kind in angle brackets; other columns stay as they are, as does a missing text.
 
-    The spans join the texts by broadcast where the table of documents that have any is
-    under ``most_bytes`` (its measured size on disk), else by a shuffle of both.
+    Base spans are found again in the pass that masks, so only the documents with discovered ones are
+    named to it: by broadcast up to ``most_spans`` of those by count, else by a join on id and text hash. An empty
+    table gives an empty one; long texts are masked whole, repeated rows alike.
     """
-    spans = materialize(find(docs, id_col, text_col, **options).where(F.size("spans") > 0).select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans")).distinct(), "pii-spans")
-    spans = spans.dropDuplicates(["__id", "__key"])
-    size = spans.sparkSession.read.parquet(*spans.inputFiles()).agg(F.count(F.lit(1)), F.sum(F.size("__spans"))).first() if spans.inputFiles() else (0, 0)
-    if 150 * size[0] + 60 * (size[1] or 0) <= most_bytes:
-        spans = F.broadcast(spans)
-    key, masked = fresh(docs, "text_key", "masked")
-    hashed = docs.withColumn(key, F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256))
-    both = hashed.join(spans, hashed[id_col].eqNullSafe(F.col("__id")) & (hashed[key] == F.col("__key")), "left")
-    # Overlapping spans of different kinds are masked as one, by the kind of the first.
-    by_start = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda acc, s: F.when(s["start"] < acc["at"], F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))).otherwise(F.struct(F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"), s["end"].alias("at")))
-    text = F.aggregate(by_start, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
-    return both.withColumn(masked, F.when(F.col("__spans").isNotNull(), text).otherwise(F.col(text_col))).select(*[F.col(masked).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    extra = materialize(discovered(materialize(scan(docs, id_col, text_col), "pii-scan"), **options), "pii-extra")
+    key, theirs, their_key, spans = fresh(docs, "text_key", "own_id", "own_key", "extra")
+    extra = extra.toDF(theirs, their_key, spans)
+    if (extra.agg(F.sum(F.size(spans))).first()[0] or 0) <= most_spans:
+        extra = F.broadcast(extra)
+    hashed = docs.withColumn(key, F.sha2(F.encode(F.coalesce(column(text_col), F.lit("")), "UTF-8"), 256))
+    both = hashed.join(extra, column(id_col).eqNullSafe(F.col(theirs)) & (F.col(key) == F.col(their_key)), "left").select(*map(column, docs.columns), spans)
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, at, _CHUNK):
+            texts = [t if t is None else masked(t, base_spans(t) + [(x["kind"], x["start"], x["end"]) for x in more or ()]) for t, more in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
+            columns = list(part.columns[:-1])
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return both.mapInArrow(run, docs.schema)

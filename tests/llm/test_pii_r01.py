@@ -20,9 +20,9 @@ def brute_graph(rows, least=3, sure=0.8):
     known, hops = {}, 0
     while True:
         share = {}
-        for words, of in seeds.items():
-            voters = [*of.values(), *(k for s, k in known.items() if words in free[s])]
-            share |= {(words, k): voters.count(k) / len(voters) for k in set(of.values()) if list(of.values()).count(k) >= least}
+        for words in {*seeds, *(w for of in free.values() for w in of)}:
+            voters = [*seeds[words].values(), *(k for s, k in known.items() if words in free[s])]
+            share |= {(words, k): voters.count(k) / len(voters) for k in set(voters) if voters.count(k) >= least}
         new = {}
         for surface in set(free) - set(known):
             sums = {k: 1 - math.prod(max(1 - share[w, k], 1e-9) for w in free[surface] if (w, k) in share) for k in pii.KINDS}
@@ -53,6 +53,19 @@ def test_graph_equals_brute_force(spark):
     assert hops >= 5 and {"u48", "n39", "both"} <= set(want)
 
 
+def test_found_instances_induce_patterns(spark):
+    """No seed stands in the second and third context: their patterns are learnt from what the rounds before have found."""
+    rows = [(f"s{j}", "email", "write", "to", "") for j in range(3)]
+    rows += [(f"a{j}", None, *c, "") for j in range(3) for c in (("write", "to"), ("ping", "him"))]
+    rows += [(f"b{j}", None, *c, "") for j in range(4) for c in (("ping", "him"), ("ask", "for"))]
+    rows += [("last", None, "ask", "for", ""), ("stranger", None, "read", "this", "")]
+    patterns, belief = pii.score_graph(spark.createDataFrame(rows, MENTION))
+    assert {r.surface for r in belief.collect()} == {*(f"a{j}" for j in range(3)), *(f"b{j}" for j in range(4)), "last"}
+    assert {(r.words, r.kind) for r in patterns.collect()} == {("write to", "email"), ("ping him", "email"), ("ask for", "email")}
+    _, first = pii.score_graph(spark.createDataFrame(rows, MENTION), rounds=1)
+    assert {r.surface for r in first.collect()} == {f"a{j}" for j in range(3)}
+
+
 def test_candidates_and_contexts(spark):
     numbers = ["555 123 4567", "(743) 555-3824", "4111 1111 1111 1112", "4711", "12.34-56"]
     for form in ("call {} now", "call" + " " * 100 + "{}" + "\n" * 100 + "now"):
