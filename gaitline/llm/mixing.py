@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, word_count
+from .common import column, fresh, word_count
 
 #: Start and end of the linear weight schedules that sources take in turn; their integrals are 5, 2 and 1.
 SCHEDULES = ((7.5, 2.5), (2.0, 2.0), (0.5, 1.5))
@@ -29,19 +29,19 @@ def _targets(sums: DataFrame, schedules, most_repeats: float) -> DataFrame:
     is left would pass its cap, with sources in the order of cap for a unit of weight.
     Windows without a partition run over one row per source only.
     """
-    by_name = Window.orderBy(F.col("__none"), F.col("__src"))
+    by_name = Window.orderBy(F.col("none"), F.col("src"))
     weight = [(a + b) / 2 for a, b in schedules]
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(schedules))) + 1).cast("int"))
-    rows = sums.groupBy("__none", "__src").agg(F.sum("__part").alias("__total"))
-    rows = rows.select("*", pick(weight).alias("__w"), pick([a for a, _ in schedules]).alias("__from"), pick([b for _, b in schedules]).alias("__to"), (F.lit(float(most_repeats)) * F.col("__total")).alias("__cap"))
-    ratio = F.col("__cap") / F.col("__w")
-    before = Window.orderBy(ratio, "__none", "__src").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sums.groupBy("none", "src").agg(F.sum("part").alias("total"))
+    rows = rows.select("*", pick(weight).alias("w"), pick([a for a, _ in schedules]).alias("from"), pick([b for _, b in schedules]).alias("to"), (F.lit(float(most_repeats)) * F.col("total")).alias("cap"))
+    ratio = F.col("cap") / F.col("w")
+    before = Window.orderBy(ratio, "none", "src").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(1))
-    left_words = F.sum("__total").over(everything) - F.coalesce(F.sum("__cap").over(before), F.lit(0.0))
-    left_weight = F.sum("__w").over(everything) - F.coalesce(F.sum("__w").over(before), F.lit(0.0))
-    rows = rows.withColumn("__level", left_words / left_weight).withColumn("__ratio", ratio)
-    free = F.min_by(F.when(F.col("__level") <= F.col("__ratio"), F.col("__level")), F.when(F.col("__level") <= F.col("__ratio"), F.col("__ratio"))).over(everything)
-    return rows.withColumn("__target", F.least("__cap", F.coalesce(free, F.lit(0.0)) * F.col("__w"))).drop("__level", "__ratio", "__cap")
+    left_words = F.sum("total").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
+    left_weight = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
+    rows = rows.withColumn("level", left_words / left_weight).withColumn("ratio", ratio)
+    free = F.min_by(F.when(F.col("level") <= F.col("ratio"), F.col("level")), F.when(F.col("level") <= F.col("ratio"), F.col("ratio"))).over(everything)
+    return rows.withColumn("target", F.least("cap", F.coalesce(free, F.lit(0.0)) * F.col("w"))).drop("level", "ratio", "cap")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedules=SCHEDULES, most_repeats: int = 3, seed: str = "mix") -> DataFrame:
@@ -54,32 +54,41 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     new ones then get a leading underscore.
 
     Only sums for each source and hash bucket leave the first pass; the documents are
-    dealt by source and bucket, so that a source with most rows is spread like any other.
+    dealt by source and bucket, so that a source with most rows is spread like any other. A missing
+    id is dealt by its text.
     """
     size, source_size, target, taken, copies, positions = fresh(docs, "size", "source_size", "target", "taken", "copies", "positions")
+    inner = ("none", "src", "bucket", "order", "tie", "start", "total", "level", "w", "from", "to", "used")
+    own = dict(zip(inner, fresh(docs.select(*[F.lit(1).alias(c) for c in (*docs.columns, size, source_size, target, taken, copies, positions)]), *(f"mix_{c}" for c in inner)), strict=True))
+    at = {name: column(own[name]) for name in inner}
     digits = max(1, min(8, math.ceil(math.log(max(1, docs.count() / _BUCKET_ROWS), 16))))
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    keyed = docs.select("*", word_count(text_col).alias(size), F.col(source_col).isNull().alias("__none"), F.coalesce(F.col(source_col), F.lit("")).alias("__src"), order.alias("__order"), F.xxhash64(text_col).alias("__tie")).withColumn("__bucket", F.substring("__order", 1, digits))
-    sums = keyed.groupBy("__none", "__src", "__bucket").agg(F.sum(size).alias("__part"))
-    targets = _targets(sums, schedules, most_repeats)
-    earlier = Window.partitionBy("__none", "__src").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("__start", F.coalesce(F.sum("__part").over(earlier), F.lit(0))).join(targets, ["__none", "__src"]).drop("__part")
-    joined = keyed.join(starts, ["__none", "__src", "__bucket"])
-    within = Window.partitionBy("__none", "__src", "__bucket").orderBy("__order", size, "__tie").rowsBetween(Window.unboundedPreceding, -1)
-    middle = F.col("__start") + F.coalesce(F.sum(size).over(within), F.lit(0)) + F.col(size) / 2
-    placed = joined.withColumn("__middle", middle)
-    turns = F.transform(F.sequence(F.lit(0), F.lit(most_repeats - 1)), lambda e: e * F.col("__total") + F.col("__middle"))
-    used = F.filter(turns, lambda x: x < F.col("__target"))
+    tie = F.xxhash64(column(text_col))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(column(id_col).cast("string"), F.concat(F.lit("text "), tie.cast("string")))).cast("binary"))
+    keyed = docs.select("*", word_count(text_col).alias(size), column(source_col).isNull().alias(own["none"]), F.coalesce(column(source_col), F.lit("")).alias(own["src"]), order.alias(own["order"]), tie.alias(own["tie"])).withColumn(own["bucket"], F.substring(own["order"], 1, digits))
+    keys = ["none", "src", "bucket"]
+    sums = keyed.groupBy(*[at[c].alias(c) for c in keys]).agg(F.sum(size).alias("part"))
+    earlier = Window.partitionBy("none", "src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("start", F.coalesce(F.sum("part").over(earlier), F.lit(0))).join(_targets(sums, schedules, most_repeats), ["none", "src"]).withColumnRenamed("target", "level")
+    joined = keyed.join(starts.select(*[F.col(c).alias(own[c]) for c in (*keys, "start", "total", "level", "w", "from", "to")]), [own[c] for c in keys])
+    within = Window.partitionBy(*[own[c] for c in keys]).orderBy(own["order"], size, own["tie"]).rowsBetween(Window.unboundedPreceding, -1)
+    middle = at["start"] + F.coalesce(F.sum(size).over(within), F.lit(0)) + F.col(size) / 2
+    placed = joined.withColumn(own["tie"], middle)
+    turns = F.transform(F.sequence(F.lit(0), F.lit(most_repeats - 1)), lambda e: e * at["total"] + at["tie"])
+    used = F.filter(turns, lambda x: x < at["level"])
     # Demand up to u is target * (a*u + (b-a)*u*u/2) / w; solved for u.
-    a, slope = F.col("__from"), F.col("__to") - F.col("__from")
-    when = lambda x: F.when(slope == 0, x / F.col("__target")).otherwise((F.sqrt(F.greatest(a * a + 2 * slope * F.col("__w") * x / F.col("__target"), F.lit(0.0))) - a) / slope)
-    out = placed.withColumn("__used", used)
-    return out.select(*docs.columns, size, F.col("__total").alias(source_size), F.col("__target").alias(target), (F.size("__used") * F.col(size)).cast("long").alias(taken), F.size("__used").alias(copies), F.transform("__used", when).alias(positions))
+    a, slope = at["from"], at["to"] - at["from"]
+    when = lambda x: F.when(slope == 0, x / at["level"]).otherwise((F.sqrt(F.greatest(a * a + 2 * slope * at["w"] * x / at["level"], F.lit(0.0))) - a) / slope)
+    out = placed.withColumn(own["used"], used)
+    return out.select(*map(column, docs.columns), size, at["total"].alias(source_size), at["level"].alias(target), (F.size(at["used"]) * F.col(size)).cast("long").alias(taken), F.size(at["used"]).alias(copies), F.transform(at["used"], when).alias(positions))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, one row for each copy taken, range-sorted by training position."""
+    """The mix itself: the columns of ``docs``, one row for each copy taken, range-sorted by training position.
+
+    Documents without words take none, but are copied where their place on the line is; an empty table gives an empty
+    one. Missing ids, texts and sources, long texts and repeated rows as in ``mix``.
+    """
     mixed = mix(docs, **options)
     positions = mixed.columns[-1]
     (at,) = fresh(mixed, "position")
-    return mixed.select(*docs.columns, F.explode(positions).alias(at)).orderBy(at).select(*docs.columns)
+    return mixed.select(*map(column, docs.columns), F.explode(column(positions)).alias(at)).orderBy(at).select(*map(column, docs.columns))

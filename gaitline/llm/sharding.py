@@ -14,6 +14,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import column, fresh
+
 SLOTS = 4093
 SHARDS = tuple(f"shard-{i:02d}" for i in range(32))
 
@@ -50,19 +52,21 @@ def lookup_table(spark: SparkSession, shards: tuple[str, ...] = SHARDS, slots: i
 def place(docs: DataFrame, key_col: str = "doc_id", shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """``docs`` with ``slot`` and ``shard`` (with a leading underscore where a column has the name).
 
-    Equal keys share a shard; a missing key counts as the empty text. Nothing is shuffled.
+    Equal keys share a shard; a missing key counts as the empty text. Other columns, whatever their names and
+    however long, pass unread; rows that repeat stay; an empty table gives an empty one. Nothing is shuffled.
     """
-    from .common import fresh
-
-    slot, shard = fresh(docs, "slot", "shard")
-    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-    table = F.broadcast(lookup_table(docs.sparkSession, shards, slots).select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard")))
+    slot, shard, own_slot, own_shard = fresh(docs, "slot", "shard", "table_slot", "table_shard")
+    hashed = F.conv(F.substring(F.md5(F.coalesce(column(key_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    table = F.broadcast(lookup_table(docs.sparkSession, shards, slots).select(F.col("slot").alias(own_slot), F.col("shard").alias(own_shard)))
     out = docs.withColumn(slot, F.pmod(hashed, F.lit(slots)).cast("int"))
-    return out.join(table, F.col(slot) == F.col("__slot")).select(*docs.columns, slot, F.col("__shard").alias(shard))
+    return out.join(table, F.col(slot) == F.col(own_slot)).select(*map(column, docs.columns), slot, F.col(own_shard).alias(shard))
 
 
 def write_shards(docs: DataFrame, path: str, key_col: str = "doc_id", files_per_shard: int = 4, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> None:
-    """Writes ``docs`` as Parquet, a folder for each shard, dealt by slot so that a shard is written by several tasks."""
+    """Writes ``docs`` as Parquet, a folder for each shard, dealt by slot so that a shard is written by several tasks.
+
+    Rows as in ``place``: an empty table writes no folder of a shard.
+    """
     placed = place(docs, key_col, shards, slots)
     slot, shard = placed.columns[-2:]
     placed.repartition(len(shards) * files_per_shard, shard, F.pmod(F.col(slot), F.lit(files_per_shard))).drop(slot).write.partitionBy(shard).parquet(path)
