@@ -71,7 +71,8 @@ def column(name: str) -> F.Column:
 def text_slices(batches: Iterable[pa.RecordBatch], at: int, limit: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts in column ``at`` of a slice have ``limit`` bytes at most, or are one row.
 
-    Spark's batches hold tens of megabytes; only a slice is made into Python objects at a time.
+    Spark's batches hold tens of megabytes; only a slice is made into Python objects at a time, and what a batch
+    leaves in Arrow's pool goes back, as workers live on for later stages.
     """
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -80,6 +81,8 @@ def text_slices(batches: Iterable[pa.RecordBatch], at: int, limit: int) -> Itera
             end = max(begin + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(begin, end - begin)
             begin, base = end, int(ends[end - 1])
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def texts_of(column: pa.Array) -> list[str]:

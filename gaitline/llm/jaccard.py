@@ -47,7 +47,7 @@ _EXTRA = 16  # the hash prefix is extended by a sixteenth of the set
 _CROWD = 64 * 64  # a key that makes more pairs is frequent: it is combined with a second shingle
 _FEW = 50  # rounds of leaders end when fewer than one of so many checked pairs is a link
 _SPARSE = 4  # or when keys make at most so many pairs for each of their rows
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19  # bytes of text at a time: its hashes take about fifty times that
 _OFTEN = 8
 _BITS = 26
 _MASK = (1 << 48) - 1

@@ -20,22 +20,25 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from .common import column, text_slices, texts_of
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 _CHUNK = re.compile(f"{SPACE}[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
-_CHUNK_CHARS = 1 << 21
+_CHUNK_BYTES = 1 << 19
 
 
 class PieceModel:
     """A SentencePiece BPE model with byte fallback, read once in each Python worker.
 
-    The vocabulary must hold no piece with a space mark behind another character, and
-    runs of space marks must rank alike and behind all other pieces; this is checked. Words
+    The vocabulary must hold no piece with a space mark behind another character, runs of
+    space marks must rank alike and behind all other pieces, and texts must not be normalised; this is checked. Words
     can then be encoded one by one, and runs of spaces apart from them.
     """
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = 200_000):
         import sentencepiece
 
         lib = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -46,6 +49,9 @@ class PieceModel:
         runs = {len(names[i]): i for i in plain if len(names[i]) > 1 and not names[i].strip(SPACE)}
         scores = {i: lib.get_score(i) for i in plain}
         ordinary = [i for i in plain if i not in set(runs.values())]
+        probe = "ﬁ Å  ①\u3000x\tＡ e\u0301"
+        if lib.normalize(probe) != SPACE + probe.replace(" ", SPACE):
+            raise ValueError("a normaliser that changes texts is not supported")
         if any(re.search(f"[^{SPACE}]{SPACE}|{SPACE}{SPACE}|\n", names[i]) for i in ordinary) or SPACE not in ids:
             raise ValueError("pieces that span words are not supported")
         if runs and (len({scores[i] for i in runs.values()}) > 1 or max(scores[i] for i in runs.values()) >= min(scores[i] for i in ordinary if names[i] != SPACE)):
@@ -235,18 +241,6 @@ def load_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about two million characters; a longer text is a range of its own."""
-    begin = chars = 0
-    for k, t in enumerate(texts):
-        chars += len(t)
-        if chars >= _CHUNK_CHARS:
-            yield begin, k + 1
-            begin, chars = k + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, if asked for ``ids``, and the columns of ``keep``.
 
@@ -254,30 +248,26 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     Rows that repeat give equal rows, an empty table an empty one; other columns are
     not read, whatever their names. No shuffle; memory is bounded by a batch of texts.
     """
-    key = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {key}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    rows = docs.select(*map(column, (id_col, text_col, *keep)))
+    digests = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] + [("ids", T.ArrayType(T.IntegerType()))] * with_ids
+    schema = T.StructType([rows.schema.fields[0], *(T.StructField(*d) for d in digests), *rows.schema.fields[2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(model_path)
         digits, eos = model.digits, model.eos
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _chunks(texts):
-                n, digest, back, kept = [], [], [], []
-                for ids in model.encode(texts[a:b]):
-                    ids.append(eos)
-                    n.append(len(ids))
-                    digest.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-                    back.append(hashlib.sha256(model.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-                    if with_ids:
-                        kept.append(ids)
-                arrays = [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
-                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+        for batch in text_slices(batches, 1, _CHUNK_BYTES):
+            n, digest, back, kept = [], [], [], []
+            for ids in model.encode(texts_of(batch.column(1))):
+                ids.append(eos)
+                n.append(len(ids))
+                digest.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
+                back.append(hashlib.sha256(model.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
                 if with_ids:
-                    arrays.append(pa.array(kept, pa.list_(pa.int32())))
-                    names.append("ids")
-                arrays += [batch.column(2 + k).slice(a, b - a) for k in range(len(keep))]
-                names += keep
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    kept.append(np.array(ids, np.int32))
+            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
+            if with_ids:
+                ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int32))))
+            yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[2:]], names=[f.name for f in schema.fields])
 
-    return docs.select(id_col, text_col, *keep).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

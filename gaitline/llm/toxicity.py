@@ -17,15 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import column, materialize, text_slices, texts_of
 
 ORDERS = (4, 5, 6)
 BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(1099511628211)
 _SEED = np.uint64(1469598103934665603)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19  # bytes of text at a time: its n-grams take about a hundred times that
 _PLAIN = np.array([c if chr(c).isalnum() else 32 for c in range(128)], np.uint32)
 
 
@@ -45,17 +46,6 @@ def ngram_buckets(texts: list[str], orders: tuple[int, ...] = ORDERS, bits: int
         yield owner[: len(code)][same], ((code[same] * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _ranges(texts: list[str]) -> Iterator[tuple[int, int]]:
-    begin = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= _CHUNK:
-            yield begin, k + 1
-            begin, size = k + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 @dataclass(frozen=True)
 class Model:
     """place: the feature of each bucket, -1 for none; weight: of each feature, its naive Bayes ratio included."""
@@ -86,7 +76,7 @@ def present(texts: list[str], place: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def held_out(id_col) -> F.Column:
     """True where crc32 of the id as text leaves 2 on division by 4; a missing id counts as the empty text."""
-    return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % 4 == 2
+    return F.crc32(F.encode(F.coalesce(column(id_col).cast("string"), F.lit("")), "UTF-8")) % 4 == 2
 
 
 def bucket_counts(rows: DataFrame, least: int = 8, bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -99,15 +89,12 @@ def bucket_counts(rows: DataFrame, least: int = 8, bits: int = BITS, orders: tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, size + 1), np.int32)
-        for batch in batches:
-            texts, labels = [t or "" for t in batch.column(0).to_pylist()], np.array(batch.column(1).to_pylist(), np.int64)
-            for a, b in _ranges(texts):
-                own = labels[a:b]
-                for label in (0, 1):
-                    counts[label, size] += int((own == label).sum())
-                for owner, bucket in ngram_buckets(texts[a:b], orders, bits):
-                    pair = np.unique(owner.astype(np.int64) << bits | bucket)
-                    np.add.at(counts, (own[pair >> bits], pair & (size - 1)), 1)
+        for batch in text_slices(batches, 0, _CHUNK):
+            own = np.array(batch.column(1).to_pylist(), np.int64)
+            for label in (0, 1):
+                counts[label, size] += int((own == label).sum())
+            pair = np.unique(np.concatenate([owner.astype(np.int64) << bits | bucket for owner, bucket in ngram_buckets(texts_of(batch.column(0)), orders, bits)]))
+            np.add.at(counts, (own[pair >> bits], pair & (size - 1)), 1)
         at = np.flatnonzero(counts.any(axis=0))
         for k in range(0, len(at), 50_000):
             part = at[k : k + 50_000].astype(np.int32)
@@ -145,21 +132,23 @@ def _fit(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, ratio: np.ndarra
     return w * ratio, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 20_000, rounds: int = 150, damping: float = 3e-4, most_broadcast: int = 5_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 20_000, rounds: int = 150, damping: float = 3e-4, most_broadcast: int = 500_000) -> Model:
     """A model from the labelled rows that are not held out.
 
     The counts cover all of them; the regression over the scaled features is fitted on
     about ``fit_rows`` of them at most, by a hash of their id. Labels other than 0 and 1
     and missing ids are left out. Without labels of both kinds every score is the
-    smoothed share of toxic rows. Up to ``most_broadcast`` labels (an id and a bit each) are
-    broadcast to the texts, by their counted number; more of them are joined by a shuffle.
+    smoothed share of toxic rows. Up to ``most_broadcast`` labels (an id and a bit each, some
+    32 MB in all) are broadcast to the texts, by their counted number, and the texts are read where they lie; more labels
+    join the texts by a shuffle, once, into a written table. An empty table of either kind is one without labels.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__toxic"))
+    known = labels.where(F.col(label_col).isin(0, 1) & column(id_col).isNotNull() & ~held_out(id_col)).groupBy(column(id_col).alias("known")).agg(F.max(label_col).cast("int").alias("toxic"))
     known = materialize(known, "toxic-labels")
-    if known.count() <= most_broadcast:
-        known = F.broadcast(known)
-    rows = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text")).join(known, F.col("__own") == F.col("__id")).select(F.col("__text").alias("text"), F.col("__toxic").alias("toxic"), F.pmod(F.hash("__id"), F.lit(1_000_000)).alias("order"))
-    rows = materialize(rows, "toxic-train")
+    few = known.count() <= most_broadcast
+    texts = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
+    rows = texts.join(F.broadcast(known) if few else known, F.col("id") == F.col("known")).select("text", "toxic", F.pmod(F.hash("id"), F.lit(1_000_000)).alias("order"))
+    if not few:
+        rows = materialize(rows, "toxic-train")
     clean, toxic, n_clean, n_toxic = bucket_counts(rows.select("text", "toxic"))
     share = (n_toxic + 1) / (n_toxic + n_clean + 2)
     base = float(np.log(share / (1 - share)))
@@ -172,12 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = rows.sparkSession.sparkContext.broadcast(place)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in _ranges(texts):
-                owner, feature = present(texts[a:b], shared.value)
-                offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=b - a))].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature.astype(np.int32))), batch.column(1).slice(a, b - a)], names=["x", "toxic"])
+        for batch in text_slices(batches, 0, _CHUNK):
+            owner, feature = present(texts_of(batch.column(0)), shared.value)
+            offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=batch.num_rows))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature.astype(np.int32))), batch.column(1)], names=["x", "toxic"])
 
     part = min(1.0, fit_rows / (n_toxic + n_clean))
     got = rows.where(F.col("order") < int(1_000_000 * part)).select("text", "toxic").mapInArrow(held, "x array<int>, toxic int").toArrow()
@@ -190,33 +177,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3) -> DataFrame:
     """id, ``held_out``, ``score`` (0 to 1) and ``predicted`` of every row; a missing text scores as an empty one.
 
-    Rows that repeat give equal rows; other columns are not read. The model (2**20
-    numbers and a few) is broadcast; nothing is shuffled.
+    An empty table gives an empty one; a text counts whole, however long. Rows that repeat
+    give equal rows; other columns are not read. The model (2**20 numbers and a few) is
+    broadcast; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int"
+    own_id = docs.select(column(id_col)).schema[0]
+    schema = T.StructType([own_id, T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            for a, b in _ranges(texts):
-                p = own.score(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(p), pa.array((p >= cut).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
+        for batch in text_slices(batches, 2, _CHUNK):
+            p = own.score(texts_of(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= cut).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
-    return docs.select(id_col, held_out(id_col).alias("held_out"), text_col).mapInArrow(run, schema)
+    return docs.select(column(id_col), held_out(id_col).alias("held_out"), column(text_col)).mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", cut: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score under ``cut``, all their columns unchanged."""
+    """The rows of ``docs`` that score under ``cut``, all their columns unchanged; missing, empty, long and repeated texts as in ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            clean = np.concatenate([own.score(texts[a:b]) < cut for a, b in _ranges(texts)]) if texts else np.zeros(0, bool)
-            yield batch.filter(pa.array(clean))
+        for batch in text_slices(batches, at, _CHUNK):
+            yield batch.filter(pa.array(own.score(texts_of(batch.column(at))) < cut))
 
     return docs.mapInArrow(run, docs.schema)
