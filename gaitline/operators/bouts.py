@@ -39,6 +39,12 @@ def reconcile_labels(features: DataFrame, labels: DataFrame, behaviors: list[str
     return features.join(known, ["stem", "frame"], "left").fillna(0, subset=behaviors)
 
 
+def row_mismatches(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """S5's guard: stems whose features and labels have different numbers of rows; stems without any labels are all negative and no mismatch."""
+    count = lambda df, n: df.groupBy("stem").agg(F.count(F.lit(1)).alias(n))
+    return count(features, "n_features").join(count(labels, "n_labels"), "stem").where("n_features <> n_labels")
+
+
 def label_mismatches(features: DataFrame, labels: DataFrame) -> DataFrame:
     """J1's guard: frames that only one side has."""
     a, b = features.select("stem", "frame", F.lit(1).alias("f")), labels.select("stem", "frame", F.lit(1).alias("l"))

@@ -104,3 +104,30 @@ def recusal_stems(manifests: DataFrame, policy: str = "train_val", text: str = "
     of = lambda subset: F.coalesce(F.from_json(F.get_json_object(text, f"$.resolved_stems.{subset}"), "array<string>"), F.array().cast("array<string>"))
     stems = of("train") if policy == "train" else F.array_union(of("train"), of("val"))
     return manifests.select("manifest_path", F.explode(F.array_distinct(stems)).alias("stem"))
+
+
+def run_summary(manifests: DataFrame, test_metrics: tuple[str, ...] = ("loss", "precision", "recall"), text: str = "manifest") -> DataFrame:
+    """``manifests`` with what their training recorded: epochs, the selected checkpoint with its threshold and rates, and ``test_`` metrics."""
+    run = lambda path, kind: F.get_json_object(text, f"$.training_run.{path}").try_cast(kind)
+    chosen = "checkpoint_selection.selected."
+    fields = {
+        "best_epoch_by_val_loss": run("best_epoch_by_val_loss", "int"),
+        "epochs_completed": run("epochs_completed", "int"),
+        "best_epoch_by_checkpoint_selection": run(f"{chosen}epoch", "int"),
+        "selected_threshold": run(f"{chosen}threshold", "double"),
+        **{f"selected_val_episode_{m}": run(f"{chosen}{m}", "double") for m in ("f1", "precision", "recall")},
+        **{f"test_{m}": run(f"test_metrics.{m}", "double") for m in test_metrics},
+    }
+    return manifests.withColumns(fields)
+
+
+def selected_thresholds(manifests: DataFrame, text: str = "manifest") -> DataFrame:
+    """P20: ``manifests`` with ``selected_threshold`` of their checkpoint selection, and ``threshold_problem``: disabled, missing or invalid, else null."""
+    part = lambda path: F.get_json_object(text, f"$.training_run.checkpoint_selection.{path}")
+    value = part("selected.threshold").try_cast("double")
+    problem = (
+        F.when(F.coalesce(part("enabled"), F.lit("")) != "true", "disabled")
+        .when(part("selected.threshold").isNull(), "missing")
+        .when(value.isNull() | F.isnan(value) | (value <= 0) | (value >= 1), "invalid")
+    )
+    return manifests.withColumns({"selected_threshold": F.when(problem.isNull(), value), "threshold_problem": problem})

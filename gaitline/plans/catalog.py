@@ -457,9 +457,9 @@ def runs(spark, d):
 @query("p16_p17_w9_best_threshold", f"with {fx.FRAMES}, {fx.runs_sql()}, k as (select *, row_number() over (partition by outer_id, inner_seed order by {_ORDER}) as rn from fx_runs) select outer_id, cast(inner_seed as varchar) as inner_seed, threshold, round(f1, 6) as validation_f1, round(precision, 6) as validation_precision, round(recall, 6) as validation_recall from k where rn = 1")
 def w9(spark, d):
     raw = fx.runs(spark, d).select(F.col("outer_id").alias("outer_split"), F.concat(F.lit("inner_seed"), F.col("inner_seed").cast("string")).alias("inner_split"), "threshold", "f1", "precision", "recall")
-    # the rows of another behaviour and level, which would win every run, are filtered away
-    other = raw.withColumns({"behavior": F.lit("other"), "level": F.lit("episode"), "f1": F.lit(1.0)})
-    sweep = raw.withColumns({"behavior": F.lit("b"), "level": F.lit("episode")}).unionByName(other).unionByName(other.withColumns({"behavior": F.lit("b"), "level": F.lit("frame")}))
+    # each row three times: what is of another behaviour or level would win every run, and is filtered away
+    kinds = F.explode(F.array(*[F.struct(F.lit(b).alias("behavior"), F.lit(l).alias("level")) for b, l in (("b", "episode"), ("other", "episode"), ("b", "frame"))]))
+    sweep = raw.select("*", kinds.alias("kind")).select("*", "kind.*").drop("kind").withColumn("f1", F.when((F.col("behavior") == "b") & (F.col("level") == "episode"), F.col("f1")).otherwise(1.0))
     return rounded(S.best_per_run(S.normalise_run_keys(S.select_sweep_rows(sweep, "b"))))
 
 
@@ -481,14 +481,17 @@ def best(spark, d):
     return S.best_per_run(fx.runs(spark, d))
 
 
-@query("j10_p20_threshold_map", f"with {fx.FRAMES}, {fx.runs_sql()}, {_BEST}, r as (select distinct outer_id, inner_seed from fx_runs) select r.outer_id, r.inner_seed, coalesce(b.threshold, 0.5) as threshold from r left join best b on b.outer_id = r.outer_id and b.inner_seed = r.inner_seed and b.inner_seed > 0")
+@query("j10_p20_threshold_map", f"with {fx.FRAMES}, {fx.runs_sql()}, {_BEST}, r as (select distinct outer_id, inner_seed from fx_runs) select r.outer_id, r.inner_seed, case r.inner_seed when 0 then 0.5 when 1 then round(b.threshold - 0.3, 6) else b.threshold end as threshold, case r.inner_seed when 0 then 'disabled' when 3 then 'invalid' end as threshold_problem from r left join best b on b.outer_id = r.outer_id and b.inner_seed = r.inner_seed")
 def j10(spark, d):
+    """The map has the runs of inner seeds 2 and 3; checkpoints of seed 1 have selected one, those of 3 a bad one, those of 0 none."""
     keys = ["outer_id", "inner_seed"]
-    all_runs = fx.runs(spark, d).select(*keys).distinct()
-    mapped = best(spark, d).where("inner_seed > 0").select(*keys, F.col("threshold").alias("map_threshold"))
-    both, lost = S.join_threshold_map(all_runs, mapped, keys)
-    rows = both.select(*keys, "map_threshold").unionByName(lost.where("missing_in = 'map'").select(*keys, F.lit(None).cast("double").alias("map_threshold")))
-    return rows.select(*keys, S.resolve_threshold("map_threshold", "map_threshold").alias("threshold"))
+    found = best(spark, d)
+    number = F.when(F.col("inner_seed") == 3, F.lit("1.5")).otherwise(F.round(F.col("threshold") - 0.3, 6).cast("string"))
+    text = F.concat(F.lit('{"training_run":{"checkpoint_selection":{"enabled":'), F.when(F.col("inner_seed") == 0, "false").otherwise("true"), F.lit(',"selected":{"threshold":'), number, F.lit("}}}}"))
+    runs = M.selected_thresholds(found.select(*keys, text.alias("manifest"))).drop("manifest")
+    both, lost = S.join_threshold_map(runs, found.where("inner_seed > 1").select(*keys, F.col("threshold").alias("map_threshold")), keys)
+    rest = runs.join(lost.where("missing_in = 'map'"), keys, "left_semi").withColumn("map_threshold", F.lit(None).cast("double"))
+    return both.unionByName(rest).select(*keys, S.resolve_threshold().alias("threshold"), "threshold_problem")
 
 
 @query("s11_threshold_map_problems", f"with {fx.FRAMES}, {fx.runs_sql()}, {_BEST} select outer_id, inner_seed, 'threshold' as problem from best where inner_seed = 1 union all select outer_id, inner_seed, 'repeated' from best where inner_seed = 2")
@@ -779,10 +782,12 @@ def s12(spark, d):
     return rounded(out.select("outer_id", "inner_seed", "f1", "batch", "checkpoint_policy", "threshold_policy", "split_signature", "val_split_signature"))
 
 
-@query("p22_manifest_summary", f"with {_BATCHES} select outer_id, inner_seed, threshold as selected_threshold, round(f1, 6) as val_f1 from batches where batch_ord = 0")
+@query("p22_manifest_summary", f"with {_BATCHES} select outer_id, inner_seed, 7 as best_epoch_by_val_loss, cast(null as int) as epochs_completed, inner_seed as best_epoch_by_checkpoint_selection, threshold as selected_threshold, round(f1, 6) as selected_val_episode_f1, cast(null as double) as selected_val_episode_precision, cast(null as double) as selected_val_episode_recall, round(recall, 6) as test_recall from batches where batch_ord = 0")
 def p22(spark, d):
-    nested = batches(spark, d).where("batch_ord = 0").select("outer_id", "inner_seed", F.struct(F.struct(F.col("threshold").alias("selected_threshold"), F.col("f1").alias("val_f1")).alias("checkpoint")).alias("manifest"))
-    return rounded(nested.select("outer_id", "inner_seed", "manifest.checkpoint.*"))
+    rows = batches(spark, d).where("batch_ord = 0")
+    chosen = F.struct(F.struct(F.col("inner_seed").alias("epoch"), "threshold", "f1").alias("selected"))
+    run = F.struct(F.lit(7).alias("best_epoch_by_val_loss"), chosen.alias("checkpoint_selection"), F.struct("recall").alias("test_metrics"))
+    return rounded(M.run_summary(rows.select("outer_id", "inner_seed", F.to_json(F.struct(run.alias("training_run"))).alias("manifest")), ("recall",)).drop("manifest"))
 
 
 # --- ensembles -------------------------------------------------------------------------------------

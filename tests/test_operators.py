@@ -381,3 +381,16 @@ def test_alignment_errors(spark):
     with pytest.raises(ValueError):
         X.align(df, ["f"])
     assert X.align(df.drop("s"), ["f"]).columns == ["stem", "frame", "f"]
+
+
+def test_recorded_runs(spark):
+    rows = [("a", '{"training_run":{"epochs_completed":9,"checkpoint_selection":{"enabled":true,"selected":{"epoch":3,"threshold":0.4,"f1":0.5}},"test_metrics":{"loss":0.25}}}'), ("b", "{}"), ("c", '{"training_run":{"checkpoint_selection":{"enabled":true,"selected":{}}}}'), ("d", '{"training_run":{"checkpoint_selection":{"enabled":true,"selected":{"threshold":"x"}}}}')]
+    table = spark.createDataFrame(rows, "manifest_path string, manifest string")
+    one = M.run_summary(table).where("manifest_path = 'a'").first()
+    assert (one.epochs_completed, one.best_epoch_by_checkpoint_selection, one.selected_threshold, one.selected_val_episode_f1, one.test_loss, one.best_epoch_by_val_loss) == (9, 3, 0.4, 0.5, 0.25, None)
+    assert {r.manifest_path: (r.selected_threshold, r.threshold_problem) for r in M.selected_thresholds(table).collect()} == {"a": (0.4, None), "b": (None, "disabled"), "c": (None, "missing"), "d": (None, "invalid")}
+
+
+def test_rows_of_features_and_labels(spark):
+    frames = lambda rows: spark.createDataFrame([(s, k) for s, n in rows for k in range(n)], "stem string, frame int")
+    assert [tuple(r) for r in B.row_mismatches(frames([("a", 3), ("b", 2), ("c", 4)]), frames([("a", 3), ("b", 1)])).collect()] == [("b", 2, 1)]
