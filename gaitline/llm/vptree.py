@@ -209,8 +209,9 @@ def neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col:
         if not len(queries) or not len(tree):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         names, own = queries["id"].to_numpy(np.int64), np.array(queries["v"].tolist(), float)
-        score, found = pickle.loads(tree["tree"].iloc[0]).search(names, own, k, factor, queries["bound"].to_numpy(float))
-        hit = ~np.isneginf(score)
+        bound = queries["bound"].to_numpy(float)
+        score, found = pickle.loads(tree["tree"].iloc[0]).search(names, own, k, factor, bound)
+        hit = ~np.isneginf(score) & (score >= bound[:, None])  # what can no longer be among the nearest stays here
         return pd.DataFrame({"query_id": np.repeat(names, hit.sum(axis=1)), "vec_id": found[hit], "score": score[hit]})
 
     def visit(asked: DataFrame) -> DataFrame:
