@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, media, mixing, pieces, pii, sharding, toxicity, vptree, warc
+from . import bytepieces, html_text, jaccard, media, mixing, pieces, pii, sharding, toxicity, vptree, warc
 from .common import table
 
 
@@ -60,5 +60,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def byte_ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op11_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepieces.encode_documents(table(spark, sf_dir, "documents"), byte_ranks())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_media, op4_sharding, op5_toxicity, op6_neighbours, op7_warc, op8_jaccard, op9_html, op10_pii)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_media, op4_sharding, op5_toxicity, op6_neighbours, op7_warc, op8_jaccard, op9_html, op10_pii, op11_bytebpe)}
