@@ -71,5 +71,41 @@ from (select a as doc_id, min(b) as component_id from reach group by 1) left joi
 """
 
 
+#: CRC-32 of a decimal number, bit by bit: the reversed polynomial 0xEDB88320.
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}::varchar, ''), lambda c: ord(c)::bigint)),
+    lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), lambda v, i: case when v % 2 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end)), 4294967295::bigint)"""
+
+OP12 = f"""
+with recursive t as (
+    select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first) as pos from conversations where conv_id is not null
+), v as (
+    select c, count(*) as n, {_CRC.format('c')} % 6 as h, c - c % 100 as base from t group by c
+), b as (
+    select v.c, v.h, v.n, (select count(*) from t where t.c = v.base and t.pos <= v.h) as b from v
+), r as (
+    select v.c, t.pos as depth, t.role, t.text from v join t on t.c = v.base and t.pos <= v.h
+    union all
+    select b.c, b.b + t.pos - b.h, t.role, t.text from b join t on t.c = b.c and t.pos > b.h
+), m as (
+    select c, depth, text, sha256(string_agg(length(role)::varchar || ':' || length(text)::varchar || ':' || role || text, '') over (partition by c order by depth)) as key, depth = max(depth) over (partition by c) as ends from r
+    union all
+    select c, 0, '', '', not exists (select 1 from r where r.c = v.c) from v
+), nodes as (
+    select depth, key, min(c) as conv_id, count(*) as n_convs, max(length(text)) as size, coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '') as ids from m group by 1, 2
+), up as (
+    select n.*, p.conv_id as parent_conv_id, p.key as parent_key from nodes n join m on m.c = n.conv_id and m.depth = n.depth - 1 join nodes p on p.depth = m.depth and p.key = m.key
+    union all
+    select nodes.*, null, null from nodes where depth = 0
+), kids as (
+    select depth - 1 as depth, parent_key as key, count(*) as n_children from up where depth > 0 group by 1, 2
+), sums as (
+    select m.depth, m.key, sum((k.n_children is null)::bigint)::bigint as n_leaves, sum((n.n_convs - 1) * n.size)::bigint as saved_tokens
+    from nodes n left join kids k on k.depth = n.depth and k.key = n.key join m on m.c = n.conv_id and m.depth <= n.depth group by 1, 2
+)
+select conv_id, depth::bigint as depth, parent_conv_id, n_convs, coalesce(n_children, 0)::bigint as n_children, n_leaves, saved_tokens, sha256(ids) as ends_sha256
+from up left join kids using (depth, key) join sums using (depth, key)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2, "op4_sharding": OP4, "op8_jaccard": OP8}
+    return {"op2_mixing": OP2, "op4_sharding": OP4, "op8_jaccard": OP8, "op12_prefixtrie": OP12}
