@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytepieces, html_text, jaccard, media, mixing, pieces, pii, sharding, toxicity, trie, vptree, warc
+from . import bytepieces, html_text, jaccard, media, mixing, pieces, pii, repair, sharding, toxicity, trie, vptree, warc
 from .common import table
 
 
@@ -74,5 +74,9 @@ def op12_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_media, op4_sharding, op5_toxicity, op6_neighbours, op7_warc, op8_jaccard, op9_html, op10_pii, op11_bytebpe, op12_prefixtrie)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_media, op4_sharding, op5_toxicity, op6_neighbours, op7_warc, op8_jaccard, op9_html, op10_pii, op11_bytebpe, op12_prefixtrie, op13_repair)}
