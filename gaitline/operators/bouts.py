@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaitline.functions import geometry as G
+from gaitline.operators.segments import segmented_bouts
 
 # --- annotations -----------------------------------------------------------------------------------
 
@@ -199,7 +200,7 @@ def bouts(frames: DataFrame, positive: Column, min_length: int = 16, max_gap: in
     Rows run by position in the table, so dropped frames close up. An island whose gap to
     the end is allowed ends at the last row. Gives keys, start_pos, end_pos, start_frame, end_frame, n_positive.
     """
-    return _islands(_positions(frames, keys, order, positive.alias("hit")).where("hit").drop("hit"), min_length, max_gap, keys)
+    return segmented_bouts(frames, positive, min_length, max_gap, keys, order).drop("n_frames", "valued", "total", "most")
 
 
 def _positions(frames: DataFrame, keys: tuple[str, ...], order: str, *more: Column) -> DataFrame:
@@ -229,17 +230,9 @@ def bouts_at(frames: DataFrame, thresholds: DataFrame, min_length: int = 16, max
 
 
 def bout_table(frames: DataFrame, positive: Column, min_length: int = 16, max_gap: int = 3, keys: tuple[str, ...] = ("stem",)) -> DataFrame:
-    """A10: bouts with number of frames, mean and largest probability, frames in gaps included.
-
-    A row's bout is the last that starts at or before it, found by one window over the
-    union of frames and bout starts, so that no range join is needed.
-    """
-    found = bouts(frames, positive, min_length, max_gap, keys)
-    whole = [F.col("start_frame").alias("frame"), F.struct("start_frame", "end_frame").alias("b"), F.lit(None).cast("double").alias("prob"), F.lit(0).alias("kind")]
-    rows = frames.select(*keys, "frame", F.lit(None).cast("struct<start_frame:int,end_frame:int>").alias("b"), F.col("prob").cast("double").alias("prob"), F.lit(1).alias("kind")).unionByName(found.select(*keys, *whole))
-    w = Window.partitionBy(*keys).orderBy("frame", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("b", F.last("b", ignorenulls=True).over(w)).where("kind = 1 and frame <= b.end_frame")
-    return placed.groupBy(*keys, F.col("b.start_frame").alias("start_frame"), F.col("b.end_frame").alias("end_frame")).agg(F.count(F.lit(1)).alias("n_frames"), F.avg("prob").alias("mean_probability"), F.max("prob").alias("max_probability"))
+    """A10: bouts with number of frames, mean and largest probability, frames in gaps included: one pass finds bouts and sums."""
+    found = segmented_bouts(frames, positive, min_length, max_gap, keys, "frame", F.col("prob"))
+    return found.select(*keys, "start_frame", "end_frame", "n_frames", F.try_divide("total", "valued").alias("mean_probability"), F.col("most").alias("max_probability"))
 
 
 # --- metrics ---------------------------------------------------------------------------------------

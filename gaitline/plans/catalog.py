@@ -543,7 +543,7 @@ _THIN = """o as (select *, row_number() over (partition by stem order by hardnes
     k as (select stem, unnest(arg_max(taken, rn)) as start from w group by stem)"""
 
 
-@query("t1_diverse_pool", f"with recursive {fx.FRAMES}, {fx.WINDOWS}, {_NEG}, {_R}, {_THIN}, n as (select count(*) as n from six), r as (select six.*, row_number() over (order by hardness desc, max_probability desc, six.stem, six.start) as place from six join k on k.stem = six.stem and k.start = six.start) select r.* exclude (place) from r, n where place <= ceil(n.n * 0.5)")
+@query("t1_diverse_pool", f"with recursive {fx.FRAMES}, {fx.WINDOWS}, {_NEG}, {_R}, {_THIN}, n as (select count(*) as n from six), r as (select six.*, row_number() over (order by hardness desc, max_probability desc, six.stem, six.start) as place from six join k on k.stem = six.stem and k.start = six.start) select r.* exclude (place), cast(place as bigint) as pool_rank from r, n where place <= ceil(n.n * 0.5)")
 def t1(spark, d):
     return S.diverse_pool(ranked_negatives(spark, d), 0.5, fx.WINDOW)
 
@@ -920,3 +920,6 @@ def u4_sweep(spark, d):
     pred = B.bouts_at(f, S.threshold_grid(spark, 0.35, 0.75, 0.05), 3, 1)
     out = B.episode_metrics(pred, B.bouts(f, F.col("truth") == 1, 1, 0), 0.2, ("stem", "threshold"), ("threshold",))
     return rounded(out).orderBy(F.desc("f1"), "threshold")
+
+
+from gaitline.plans import run_queries  # noqa: E402, F401

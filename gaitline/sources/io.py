@@ -85,7 +85,7 @@ def split_content(text: str, yaml: bool = True) -> dict:
         try:
             from yaml import safe_load as load
         except ModuleNotFoundError:
-            load = _plain_yaml
+            load = plain_yaml
         found = load(text)
         if not isinstance(found, dict):
             raise ValueError("a split file must be a mapping")
@@ -102,7 +102,7 @@ def split_content(text: str, yaml: bool = True) -> dict:
     return sections
 
 
-def _plain_yaml(text: str) -> dict:
+def plain_yaml(text: str) -> dict:
     """Where no YAML reader is installed: keys at the left margin with a scalar, a list in brackets, or dashed lines below."""
 
     def scalar(x: str):

@@ -289,7 +289,7 @@ def test_split_files(spark, tmp_path, monkeypatch):
         (tmp_path / name).write_text(text)
         assert sorted((r.subset, r.stem) for r in io.read_split(spark, str(tmp_path / name)).collect()) == [("test", "d"), ("train", "a"), ("train", "b b"), ("train", "c")]
         if name != "l.txt":
-            assert io._plain_yaml(text) == io.split_content(text)
+            assert io.plain_yaml(text) == io.split_content(text)
     for text, yaml in (("a\nTrain videos:\nb\n", False), ("- a\n- b\n", True)):
         with pytest.raises(ValueError):
             io.split_content(text, yaml)
