@@ -12,6 +12,8 @@ from gaitline.operators import bouts as B
 from gaitline.operators import features as X
 from gaitline.operators import manifests as M
 from gaitline.operators import selection as S
+from gaitline.operators import statistics as T
+from gaitline.operators.stages import kept
 from gaitline.plans import fixtures as fx
 from gaitline.sources import io
 
@@ -534,7 +536,7 @@ def w8(spark, d):
 
 @query("a15_score_distribution", f"with {fx.FRAMES}, {fx.WINDOWS}, {_NEG}, {_R} select min(hardness) as min_hardness, round(median(hardness), 6) as median_hardness, max(hardness) as max_hardness from six")
 def a15(spark, d):
-    return rounded(ranked_negatives(spark, d).agg(F.min("hardness").alias("min_hardness"), F.median("hardness").alias("median_hardness"), F.max("hardness").alias("max_hardness")))
+    return rounded(T.score_distribution(kept(ranked_negatives(spark, d), "scores")))
 
 
 _THIN = """o as (select *, row_number() over (partition by stem order by hardness desc, max_probability desc, start) as rn from six),
@@ -922,4 +924,4 @@ def u4_sweep(spark, d):
     return rounded(out).orderBy(F.desc("f1"), "threshold")
 
 
-from gaitline.plans import run_queries  # noqa: E402, F401
+from gaitline.plans import run_queries, statistic_queries  # noqa: E402, F401

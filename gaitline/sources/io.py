@@ -134,12 +134,18 @@ def plain_yaml(text: str) -> dict:
     return out
 
 
+def _section(name) -> str:
+    return re.sub(r"[ _]?(?:set|videos)$", "", str(name).strip().lower())
+
+
 def split_rows(content: dict) -> list[tuple[str, str, int]]:
     """(subset, stem, ord) of the entries of train, test and val sections, by any of their names; other keys are settings."""
     out = []
     for name, entries in content.items():
-        words = re.sub(r"[ _]?(?:set|videos)$", "", str(name).strip().lower())
-        if words in SECTIONS and isinstance(entries, list):
+        words = _section(name)
+        if words in SECTIONS and not isinstance(entries, list):
+            raise ValueError(f"section {name} is no list")
+        if words in SECTIONS:
             out += [(SECTIONS[words], re.sub(r"\.[^./]*$", "", str(x).strip().rsplit("/", 1)[-1]) if re.search(r"\.(?:mp4|avi|mov|mkv)$", str(x).strip(), re.I) else str(x).strip().rsplit("/", 1)[-1], k) for k, x in enumerate(entries)]
     return out
 
@@ -160,13 +166,14 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(read, "path string, content string").withColumn("signature", F.sha2("content", 256))
 
 
-def read_split(spark: SparkSession, path: str) -> DataFrame:
-    """(subset, stem, ord) of one split file, YAML or legacy text by its name. Without a section of videos it is an error."""
+def read_split(spark: SparkSession, path: str, need: tuple[str, ...] = ("train", "test")) -> DataFrame:
+    """(subset, stem, ord) of one split file, YAML or legacy text by its name. A section of ``need`` that is lacking is an error, as is one that is no list."""
     text = spark.read.text(path, wholetext=True).first()
-    rows = split_rows(split_content(text.value if text else "", path.lower().endswith((".yaml", ".yml"))))
-    if not rows and not (text and re.search(r"(?im)^\s*(train|test|val)", text.value)):
-        raise ValueError(f"{path} has no section of videos")
-    return spark.createDataFrame(rows, "subset string, stem string, ord int")
+    content = split_content(text.value if text else "", path.lower().endswith((".yaml", ".yml")))
+    have = {SECTIONS.get(_section(name)) for name in content}
+    if lacking := [n for n in need if n not in have]:
+        raise ValueError(f"{path} has no section {', '.join(lacking)}")
+    return spark.createDataFrame(split_rows(content), "subset string, stem string, ord int")
 
 
 def resolve_splits(recorded: DataFrame, splits: DataFrame, column: str) -> DataFrame:
@@ -259,13 +266,14 @@ def threshold_map_problems(mapped: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def load_batch(rows: DataFrame, splits: DataFrame, label: str, behavior: str | None, checkpoint_policy: str, keys: tuple[str, ...] = ("outer_id", "inner_seed", "behavior", "subset", "level")) -> DataFrame:
-    """The successful rows of a behaviour with their batch's label and policies, and signatures of what their two splits hold.
+    """The evaluated rows of a behaviour, those with an error text too, with their batch's label and policies, and signatures of what their two splits hold.
 
     ``splits``: (path, signature) as of :func:`read_splits`. No rows, repeated keys or a split that isn't found are errors.
     """
-    from gaitline.operators.selection import duplicates, successful, threshold_policy
+    from gaitline.operators.selection import duplicates, evaluated, threshold_policy
+    from gaitline.operators.stages import kept
 
-    rows = successful(rows if behavior is None else rows.where(F.col("behavior") == behavior))
+    rows = kept(evaluated(rows if behavior is None else rows.where(F.col("behavior") == behavior)), "batch")
     if rows.isEmpty():
         raise ValueError(f"batch {label} has no successful rows")
     if not duplicates(rows, [k for k in keys if k in rows.columns]).isEmpty():
@@ -277,9 +285,24 @@ def load_batch(rows: DataFrame, splits: DataFrame, label: str, behavior: str | N
     return rows.withColumns({"batch": F.lit(label), "checkpoint_policy": F.lit(checkpoint_policy), "threshold_policy": threshold_policy()})
 
 
-def write_by_stem(df: DataFrame, path: str) -> None:
-    """A folder for each video; one task writes a video's file."""
-    df.repartition("stem").sortWithinPartitions("stem", *(["frame"] if "frame" in df.columns else [])).write.partitionBy("stem").mode("overwrite").parquet(path)
+def batch_metadata(rows: DataFrame, config: dict) -> DataFrame:
+    """A row for each batch of ``load_batch``: policies, subsets and levels, and how the episodes were matched, as its ``config`` says."""
+    # Settings of an evaluation that say how episodes were matched.
+    names = ("episode_matching_method", "episode_overlap_denominator", "threshold_selection_episode_matching_method", "threshold_selection_episode_overlap_denominator")
+    found = rows.groupBy("batch", "checkpoint_policy", "threshold_policy").agg(F.sort_array(F.collect_set("subset")).alias("subset"), F.sort_array(F.collect_set("level")).alias("levels"))
+    return found.withColumns({c: F.lit(config.get(c)).cast("string") for c in names})
+
+
+def write_by_stem(df: DataFrame, path: str, rows_per_file: int = 2_000_000) -> None:
+    """A folder for each video. A video of up to ``rows_per_file`` rows is one file; a longer one is cut into
+    ranges of frames of about that many rows, each written by its own task; only without frames it is one task's, file after file."""
+    if "frame" not in df.columns:
+        df.repartition("stem").write.option("maxRecordsPerFile", rows_per_file).partitionBy("stem").mode("overwrite").parquet(path)
+        return
+    sizes = df.groupBy("stem").agg(F.count(F.lit(1)).alias("__n"), F.min("frame").alias("__lo"), F.max("frame").alias("__hi")).where(F.col("__n") > rows_per_file)
+    place = F.floor((F.col("frame") - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1) * F.ceil(F.col("__n") / rows_per_file))
+    cut = df.join(sizes, "stem", "left").withColumn("__part", F.coalesce(place, F.lit(0)).cast("int")).drop("__n", "__lo", "__hi")
+    cut.repartition("stem", "__part").sortWithinPartitions("stem", "__part", "frame").drop("__part").write.option("maxRecordsPerFile", 2 * rows_per_file).partitionBy("stem").mode("overwrite").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
