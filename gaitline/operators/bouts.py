@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaitline.functions import geometry as G
+from gaitline.operators.lives import bout_lives, lives_at
 from gaitline.operators.segments import segmented_bouts
 
 # --- annotations -----------------------------------------------------------------------------------
@@ -203,30 +204,13 @@ def bouts(frames: DataFrame, positive: Column, min_length: int = 16, max_gap: in
     return segmented_bouts(frames, positive, min_length, max_gap, keys, order).drop("n_frames", "valued", "total", "most")
 
 
-def _positions(frames: DataFrame, keys: tuple[str, ...], order: str, *more: Column) -> DataFrame:
-    """keys, f (the row's place in ``order``), pos, and the last of both."""
-    w, whole = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
-    rows = frames.select(*keys, F.col(order).alias("f"), (F.row_number().over(w) - 1).alias("pos"), *more)
-    return rows.select("*", F.max("pos").over(whole).alias("last"), F.max("f").over(whole).alias("last_f"))
-
-
-def _islands(hits: DataFrame, min_length: int, max_gap: int, keys: tuple[str, ...]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("f")
-    hits = hits.withColumn("new", (F.coalesce(F.col("pos") - F.lag("pos").over(w) - 1, F.lit(max_gap + 1)) > max_gap).cast("int"))
-    islands = hits.withColumn("bout", F.sum("new").over(w)).groupBy(*keys, "bout").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end"), F.min("f").alias("start_frame"), F.max("f").alias("end_f"), F.count(F.lit(1)).alias("n_positive"), F.max("last").alias("last"), F.max("last_f").alias("last_f"))
-    to_end = F.col("last") - F.col("end") <= max_gap
-    return islands.where(F.col("n_positive") >= min_length).select(*keys, F.col("start_pos").cast("int"), F.when(to_end, F.col("last")).otherwise(F.col("end")).cast("int").alias("end_pos"), F.col("start_frame").cast("int"), F.when(to_end, F.col("last_f")).otherwise(F.col("end_f")).cast("int").alias("end_frame"), "n_positive")
-
-
 def bouts_at(frames: DataFrame, thresholds: DataFrame, min_length: int = 16, max_gap: int = 3, keys: tuple[str, ...] = ("stem",), order: str = "frame", prob: str = "prob") -> DataFrame:
-    """The bouts at every threshold of a grid of a few dozen: keys, threshold and what ``bouts`` gives.
+    """The bouts at every threshold of a grid: keys, threshold and what ``bouts`` gives; no frame is copied.
 
-    Rows are numbered once; only those that reach a threshold are copied for it.
+    The grid, a setting of a user, is read first; its bouts are looked up among the lives of bouts.
     """
-    grid = F.broadcast(thresholds.agg(F.array_sort(F.collect_set("threshold")).alias("grid")))
-    rows = _positions(frames, keys, order, F.col(prob).alias("p")).crossJoin(grid)
-    hits = rows.select(*keys, "f", "pos", "last", "last_f", F.explode(F.filter("grid", lambda t: F.col("p") >= t)).alias("threshold"))
-    return _islands(hits, min_length, max_gap, (*keys, "threshold"))
+    grid = [r.threshold for r in thresholds.select("threshold").distinct().collect()]
+    return lives_at(bout_lives(frames, min(grid), min_length, max_gap, keys, order, prob), grid)
 
 
 def bout_table(frames: DataFrame, positive: Column, min_length: int = 16, max_gap: int = 3, keys: tuple[str, ...] = ("stem",)) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gaitline.operators import bouts as B
 from gaitline.operators import features as X
+from gaitline.operators import lives as L
 from gaitline.operators import permutation as P
 from gaitline.operators import selection as S
 from gaitline.operators import statistics as T
@@ -49,6 +50,19 @@ def merged_moments(spark, d):
     return rounded(T.scalers_of(now).withColumnRenamed("column", "column_name"))
 
 
+_FINE = "t as (select distinct round(0.35::double + k * 0.001::double, 10) as threshold from range(401) q(k))"
+
+
+@query(
+    "j14_fine_sweep",
+    f"with {fx.FRAMES}, {_FINE}, x as (select stem, frame, threshold, prob from fx_frames, t where prob >= threshold - 1), {fx.bout_sql('x', 'prob >= threshold', 3, 1, 'stem, threshold')}, n as (select threshold, count(*) as n_bouts, sum(n_positive)::bigint as positives from fx_bouts group by 1) select threshold, coalesce(n_bouts, 0)::bigint as n_bouts, coalesce(positives, 0)::bigint as positives from t left join n using (threshold)",
+)
+def fine_sweep(spark, d):
+    """Bouts and their positive frames at 401 thresholds, from lives that are made once."""
+    grid = [r.threshold for r in S.threshold_grid(spark, 0.35, 0.75, 0.001).collect()]
+    return L.totals_at(L.bout_lives(fx.frames(spark, d), min(grid), 3, 1), grid)
+
+
 def _permuted_sql(source: str, seed: str, name: str) -> str:
     """CTEs (recursive) that end in ``name``: number, grp and place of ``source`` (number, grp, size, tag), by the same arithmetic as the library's."""
     base = "cast(ceil(sqrt(size)) as bigint)"
