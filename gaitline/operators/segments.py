@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT = 1 << 16
+_BOUTS = "array<struct<start_pos:int,end_pos:int,start_frame:int,end_frame:int,n_positive:bigint,n_frames:bigint,valued:bigint,total:double,most:double>>"
 
 
 def segmented_bouts(frames: DataFrame, positive: Column, min_length: int = 16, max_gap: int = 3, keys: tuple[str, ...] = ("stem",), order: str = "frame", value: Column | None = None, segment: int = SEGMENT) -> DataFrame:
@@ -39,28 +40,29 @@ def segmented_bouts(frames: DataFrame, positive: Column, min_length: int = 16, m
     piece = F.struct("part", "n", "hits", "a", "b", "fa", "fb", "valued", "total", "most")
     segments = summed.groupBy(*own).agg(F.sum("size").alias("rows"), F.max("far").alias("far"), F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), piece))).alias("pieces"))
 
-    whole, sofar = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("__seg")
-    offset = F.coalesce(F.sum("rows").over(sofar.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = segments.select("*", offset.alias("offset"), F.sum("rows").over(whole).alias("all"), F.max("far").over(whole).alias("end_f"))
-    least = F.array_min(F.transform(F.filter("pieces", lambda p: p["hits"] > 0), lambda p: p["part"]))
-    most = F.array_max(F.transform(F.filter("pieces", lambda p: p["hits"] > 0), lambda p: p["part"]))
-    listed = placed.select(*own, "offset", "all", "end_f", least.alias("least"), most.alias("most_part"), F.inline("pieces"))
-    moved = listed.withColumns({"a": F.col("a") + F.col("offset"), "b": F.col("b") + F.col("offset")})
-    final = (F.col("hits") > 0) & (F.col("part") > F.col("least")) & (F.col("part") < F.col("most_part"))
+    whole, so_far = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("__seg")
+    offset = F.coalesce(F.sum("rows").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    islands = F.filter("pieces", lambda p: p["hits"] > 0)
+    least, most = F.array_min(F.transform(islands, lambda p: p["part"])), F.array_max(F.transform(islands, lambda p: p["part"]))
+    placed = segments.select(*own, "pieces", offset.alias("offset"), F.sum("rows").over(whole).alias("all"), F.max("far").over(whole).alias("end_f"), least.alias("least"), most.alias("most"))
+    final = lambda p: (p["hits"] > 0) & (p["part"] > F.col("least")) & (p["part"] < F.col("most"))
 
-    # first and last islands and what surrounds them, in order; a gap's rows count where the next island goes on
-    run = Window.partitionBy(*keys).orderBy("__seg", "part")
-    edge = moved.where(~final).withColumn("last", F.last("b", ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1)))
-    edge = edge.withColumn("new", F.when(F.col("hits") > 0, (F.coalesce(F.col("a") - F.col("last") - 1, F.lit(max_gap + 1)) > max_gap).cast("int")))
-    # a segment's own gap between its first and last island is neither: a new island there starts anew by its distance
-    edge = edge.withColumn("goes_on", F.first("new", ignorenulls=True).over(run.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    edge = edge.withColumn("bout", F.sum(F.coalesce("new", F.lit(0))).over(run))
-    to_end = F.col("all") - 1 - F.col("last_b") <= max_gap
+    def bout(a: Column, b: Column, fa: Column, fb: Column, p) -> Column:
+        return F.struct(a.cast("int").alias("start_pos"), b.cast("int").alias("end_pos"), fa.cast("int").alias("start_frame"), fb.cast("int").alias("end_frame"), p("hits").alias("n_positive"), p("n").alias("n_frames"), p("valued").alias("valued"), p("total").alias("total"), p("most").alias("most"))
+
+    inner = F.transform(F.filter("pieces", lambda p: final(p) & (p["hits"] >= min_length)), lambda p: bout(p["a"] + F.col("offset"), p["b"] + F.col("offset"), p["fa"], p["fb"], lambda c: p[c]))
+    edges = placed.select(*own, "offset", "all", "end_f", inner.alias("inner"), F.posexplode(F.filter("pieces", lambda p: ~final(p))).alias("k", "p"))
+    edges = edges.select(*own, "k", "all", "end_f", F.when(F.col("k") == 0, F.col("inner")).alias("inner"), *[F.col(f"p.{c}").alias(c) for c in ("n", "hits", "fa", "fb", "valued", "total", "most")], *[(F.col(f"p.{c}") + F.col("offset")).alias(c) for c in "ab"])
+
+    # first and last islands and what surrounds them, in order; the rows of a gap count where the island behind it goes on
+    run = Window.partitionBy(*keys).orderBy("__seg", "k")
+    edges = edges.withColumn("last", F.last("b", ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1)))
+    edges = edges.withColumn("new", F.when(F.col("hits") > 0, (F.coalesce(F.col("a") - F.col("last") - 1, F.lit(max_gap + 1)) > max_gap).cast("int")))
+    edges = edges.select("*", F.first("new", ignorenulls=True).over(run.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("goes_on"), F.sum(F.coalesce("new", F.lit(0))).over(run.rowsBetween(Window.unboundedPreceding, 0)).alias("bout"))
     reaches = F.col("goes_on").isNull() & (F.col("all") - 1 - F.col("last") <= max_gap)
-    counts = (F.col("hits") > 0) | (F.col("goes_on") == 0) | reaches
-    joined = edge.where((F.col("bout") > 0) & counts).groupBy(*keys, "bout").agg(
-        F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.min("a").alias("a"), F.max("b").alias("last_b"), F.min("fa").alias("fa"), F.max("fb").alias("fb"), F.sum("valued").alias("valued"), F.sum("total").alias("total"), F.max("most").alias("most"), F.max("all").alias("all"), F.max("end_f").alias("end_f")
-    )
-    out = lambda df, b, fb: df.where(F.col("hits") >= min_length).select(*keys, F.col("a").cast("int").alias("start_pos"), b.cast("int").alias("end_pos"), F.col("fa").cast("int").alias("start_frame"), fb.cast("int").alias("end_frame"), F.col("hits").alias("n_positive"), F.col("n").alias("n_frames"), "valued", "total", "most")
-    merged = out(joined, F.when(to_end, F.col("all") - 1).otherwise(F.col("last_b")), F.when(to_end, F.col("end_f")).otherwise(F.col("fb")))
-    return merged.unionByName(out(moved.where(final), F.col("b"), F.col("fb")))
+    counts = (F.col("bout") > 0) & ((F.col("hits") > 0) | (F.col("goes_on") == 0) | reaches)
+    own_sum = lambda f, c: f(F.when(counts, F.col(c))).alias(c)
+    merged = edges.groupBy(*keys, "bout").agg(*[own_sum(F.sum, c) for c in ("n", "hits", "valued", "total")], *[own_sum(F.min, c) for c in ("a", "fa")], *[own_sum(F.max, c) for c in ("b", "fb", "most")], F.max("all").alias("all"), F.max("end_f").alias("end_f"), F.flatten(F.collect_list("inner")).cast(_BOUTS).alias("inner"))
+    to_end = F.col("all") - 1 - F.col("b") <= max_gap
+    edge = bout(F.col("a"), F.when(to_end, F.col("all") - 1).otherwise(F.col("b")), F.col("fa"), F.when(to_end, F.col("end_f")).otherwise(F.col("fb")), F.col)
+    return merged.select(*keys, F.inline(F.concat("inner", F.when(F.col("hits") >= min_length, F.array(edge)).otherwise(F.array()).cast(_BOUTS))))
