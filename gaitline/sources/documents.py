@@ -106,8 +106,9 @@ def ensemble_members(manifests: DataFrame) -> DataFrame:
 def stale_ensembles(manifests: DataFrame) -> DataFrame:
     """(manifest_path, member, field): where an ensemble's recorded settings differ from a member's own; ``manifest`` where the member has no usable manifest."""
     fields = M.manifest_fields(manifests.where("error is null")).select("manifest_path", *M.INFERENCE)
-    own = fields.select(F.col("manifest_path").alias("member"), F.lit(True).alias("there"), *[F.col(f).alias(f"member_{f}") for f in M.INFERENCE])
-    both = ensemble_members(manifests).join(fields, "manifest_path").join(own, "member", "left")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    own = fields.select(plain("manifest_path").alias("member_at"), F.lit(True).alias("there"), *[F.col(f).alias(f"member_{f}") for f in M.INFERENCE])
+    both = ensemble_members(manifests).join(fields, "manifest_path").withColumn("member_at", plain("member")).join(own, "member_at", "left")
     differs = F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"member_{f}")), F.lit(f)) for f in M.INFERENCE])
     found = F.when(F.col("there").isNull(), F.array(F.lit("manifest"))).otherwise(F.filter(differs, lambda x: x.isNotNull()))
     return both.select("manifest_path", "member", F.explode(found).alias("field"))

@@ -158,7 +158,7 @@ def test_bouts_and_counts_at_thresholds(spark):
     rng = random.Random(14)
     frames = spark.createDataFrame([(v, i, rng.choice([0.1, 0.3, 0.5, 0.7, 0.9]), rng.randint(0, 1)) for v in "abc" for i in range(40)], "stem string, frame int, prob double, truth int")
     grid = S.threshold_grid(spark, values=[0.3, 0.5, 0.6])
-    copied = S.apply_thresholds(frames, grid)
+    copied = frames.crossJoin(grid).withColumn("pred", (F.col("prob") >= F.col("threshold")).cast("int"))
     cols = ["stem", "threshold", "start_pos", "end_pos", "start_frame", "end_frame", "n_positive"]
     assert sorted(B.bouts_at(frames, grid, 2, 1).select(cols).collect()) == sorted(B.bouts(copied, F.col("pred") == 1, 2, 1, ("stem", "threshold")).select(cols).collect())
     cells = ["stem", "threshold", "tp", "fp", "fn", "tn"]
@@ -173,16 +173,24 @@ def test_windows_and_reconstruction(spark):
     df = spark.createDataFrame([("a", i) for i in range(13)] + [("b", i) for i in range(3)], "stem string, frame int")
     rows = {(r.stem, r.start, r.frame) for r in B.window_rows(df, 5, 3).collect()}
     assert rows == {("a", s, s + p) for s in (0, 3, 6) for p in range(5)}
-    members = spark.createDataFrame([("m", "a", 0, 0.2, 1), ("n", "a", 0, 0.8, 1), ("n", "b", 0, 0.8, 0)], "member string, stem string, frame int, prob double, truth int")
-    got = {r.stem: r.prob for r in B.reconstruct(members, 0.5).collect()}
-    assert got == {"a": 0.5, "b": 0.8}
+    rng = random.Random(12)
+    scored = [(f"m{m}", f"v{v}", f, rng.random(), rng.randrange(2)) for m in range(3) for v in range(4) for f in range(6) for _ in range(rng.randrange(3))]
+    got = {(r.stem, r.frame): (r.prob, r.truth, r.pred) for r in B.reconstruct(spark.createDataFrame(scored, "member string, stem string, frame int, prob double, truth int"), 0.5).collect()}
+    for key in {x[1:3] for x in scored}:
+        own = [x for x in scored if x[1:3] == key]
+        mean = sum(x[3] for x in own) / len(own)
+        assert got.pop(key) == (pytest.approx(mean), max(x[4] for x in own), int(mean >= 0.5))
+    assert not got
 
 
-def test_rolling_mean_and_diverse_pool(spark):
-    df = spark.createDataFrame([([0.0, 1.0, 0.0, 0.0],), ([0.6] * 4,)], "p array<double>")
-    assert [r[0] for r in df.select(G.maximum_rolling_mean(F.col("p"), 2)).collect()] == [0.5, pytest.approx(0.6)]
-    scores = spark.createDataFrame([("a", 0, 0.9, 0.9), ("a", 10, 0.8, 0.9), ("a", 80, 0.7, 0.9), ("b", 0, 0.6, 0.9)], "stem string, start int, hardness double, max_probability double")
-    assert [(r.stem, r.start) for r in S.diverse_pool(scores, 0.5, 60).collect()] == [("a", 0), ("a", 80)]
+def test_rolling_means(spark):
+    rng = random.Random(11)
+    for width in (1, 3, 7):
+        rows = [[rng.random() for _ in range(rng.randrange(1, 12))] for _ in range(40)]
+        got = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, p array<double>").orderBy("k").select(G.maximum_rolling_mean(F.col("p"), width)).collect()
+        for r, (found,) in zip(rows, got, strict=True):
+            means = [sum(r[i : i + width]) / width for i in range(len(r) - width + 1)]
+            assert found == (pytest.approx(max(means)) if means else None)
 
 
 def test_threshold_grid_and_choice(spark):

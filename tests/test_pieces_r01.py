@@ -21,7 +21,7 @@ def test_diverse_pool_in_pieces(spark, monkeypatch):
     for r in sorted(rows, key=lambda r: (-r[2], -r[3], r[0], r[1])):
         if all(r[0] != w[0] or abs(r[1] - w[1]) >= 60 for w in want):
             want.append(r)
-    assert [tuple(r) for r in got.collect()] == want[:72]
+    assert [tuple(r) for r in got.collect()] == [(*w, k) for k, w in enumerate(want[:72], 1)]  # pool_rank comes last
     assert "Limit" not in plan(got)
 
 
