@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
 
@@ -26,6 +26,7 @@ from .common import column, text_slices
 RAW = frozenset("script style noscript template textarea title iframe svg math select object audio video canvas datalist".split())
 APART = frozenset("nav footer aside menu dialog button head".split())
 PERHAPS = frozenset("form header".split())
+OUTER = frozenset("html body form".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 LOOSE = frozenset("p li dt dd td th tr option".split())
 BOX = frozenset("address article body center details div fieldset footer form header hgroup html main nav section aside menu dialog head".split())
@@ -85,10 +86,12 @@ def page_lines(page: str) -> list[Line]:
     text: list[str] = []
     gap: list[Block] = []
     stack: list[tuple[str, Block | None, bool]] = []  # name, what may be noise from here on, whether it is a block of its own
-    count: dict[str, int] = {}
+    count: dict[str, list[int]] = {}  # places of the open elements of a name
+    made: list[int] = []  # places of blocks of their own
+    endless: set[str] = set()  # raw elements of which no end is left
     loose: list[int] = []  # places of open p, li and the like
     boxes: list[int] = []  # places of open containers
-    linked = links = article = 0
+    linked = links = article = contained = 0
     tag = ""
     at, size = 0, len(page)
 
@@ -114,10 +117,10 @@ def page_lines(page: str) -> list[Line]:
 
     def pop(k: int, name: str = "") -> None:
         """Closes all from place ``k`` on; only the one called ``name`` was closed by itself."""
-        nonlocal article, links
+        nonlocal article, links, contained
         while len(stack) > k:
             own, block, new = stack.pop()
-            count[own] -= 1
+            count[own].pop()
             if own in ("article", "main"):
                 article -= 1
             elif own == "a":
@@ -126,11 +129,13 @@ def page_lines(page: str) -> list[Line]:
                 loose.pop()
             if boxes and boxes[-1] == len(stack):
                 boxes.pop()
+                contained -= own not in OUTER
                 held = holders.pop(len(stack))
                 gap.append(held)
                 if boxes and held.lines:
                     holders[boxes[-1]].lines += held.lines
             if new:
+                made.pop()
                 block.closed = own == name and len(stack) == k
                 if block.parent is not None:
                     block.parent.chars += block.chars
@@ -158,23 +163,23 @@ def page_lines(page: str) -> list[Line]:
             flush()
         if closing:
             if count.get(name):
-                k = len(stack) - 1
-                while stack[k][0] != name:
-                    k -= 1
-                if any(s[2] for s in stack[k:]):
+                k = count[name][-1]
+                if made and made[-1] >= k:
                     flush()
                 if name in BLOCK or not boxes or k > boxes[-1]:  # an inline element never closes a container
                     pop(k, name)
             tag = "" if name in LOOSE or name in HEADING else tag
             continue
         if name in RAW:
-            end = _ENDS[name].search(page, at)
+            end = None if name in endless else _ENDS[name].search(page, at)
+            if end is None:
+                endless.add(name)
             at = end.end() if end else size if name in ("script", "style") else at
             continue
         if name in VOID:
             continue
         if name in BLOCK and count.get("head"):  # nothing of a head makes a block
-            pop(next(k for k, s in enumerate(stack) if s[0] == "head"))
+            pop(count["head"][0])
         if name in BLOCK:
             while loose and loose[-1] > (boxes[-1] if boxes else -1) and (name not in LOOSE or stack[loose[-1]][0] == name or stack[loose[-1]][0] in ("p", "li")):
                 pop(loose[-1])  # a paragraph or list item ends where the next block begins
@@ -183,18 +188,21 @@ def page_lines(page: str) -> list[Line]:
             tag = name if name in LOOSE or name in HEADING else ""
         if m.group(3).endswith("/"):
             continue
-        sure = name in APART or name == "form" or name == "header" and not any(stack[k][0] not in ("html", "body", "form") for k in boxes)
-        noisy = not sure and name not in ("html", "body", "header") and _noisy(m.group(3), article > 0)
+        sure = name in APART or name == "form" or name == "header" and not contained
+        noisy = not sure and name not in ("html", "body", "header") and not (name == "p" and article > 0) and _noisy(m.group(3), article > 0)
         if noisy:
             flush()
         block = Block(name, inner(), sure, noisy, len(lines)) if sure or noisy else inner()
+        place = len(stack)
         stack.append((name, block, sure or noisy))
-        count[name] = count.get(name, 0) + 1
-        place = len(stack) - 1
+        count.setdefault(name, []).append(place)
+        if sure or noisy:
+            made.append(place)
         if name in LOOSE:
             loose.append(place)
         elif name in BOX or name in LIST:
             boxes.append(place)
+            contained += name not in OUTER
             holders[place] = Block(name, block)
             gap.append(holders[place])
         if name in ("article", "main"):
@@ -212,10 +220,21 @@ def _blanks(gap: list[Block]) -> int:
     return (halves + 1) // 2
 
 
-def _blocks(block: Block | None) -> Iterator[Block]:
-    while block is not None:
-        yield block
-        block = block.parent
+class _Chains:
+    """Whether anything around a place, from its block outwards, has a property; each block is asked once, however deep it lies."""
+
+    def __init__(self, has: Callable[[Block], bool]):
+        self.has, self.known = has, {}
+
+    def __call__(self, block: Block | None) -> bool:
+        chain = []
+        while block is not None and block not in self.known:
+            chain.append(block)
+            block = block.parent
+        found = block is not None and self.known[block]
+        for b in reversed(chain):
+            found = self.known[b] = found or self.has(b)
+        return found
 
 
 def _judge(lines: list[Line]) -> list[bool]:
@@ -228,30 +247,45 @@ def _judge(lines: list[Line]) -> list[bool]:
     counts where it stands in the body itself; within other containers it may be the title's, so the surge decides.
     """
     total = sum(len(x.text) for x in lines)
+    asked: set[Block] = set()
     for x in lines:
-        for b in _blocks(x.block):
+        b = x.block
+        while b is not None and b not in asked:
+            asked.add(b)
             most = 2 * b.chars > total and b.chars >= SHORT and 2 * b.linked < b.chars
             b.out = b.sure and not (most and (b.name in PERHAPS or not b.closed))
-            if b.sure and b.out:
+            if b.out:
                 break
-    before = [0, *accumulate(0 if any(b.out for b in _blocks(x.block)) else len(x.text) for x in lines)]
+            b = b.parent
+    gone = _Chains(lambda b: b.out)
+    before = [0, *accumulate(0 if gone(x.block) else len(x.text) for x in lines)]
     left = before[-1]
 
     def wrapper(b: Block) -> bool:
         return b.chars == left or 2 * b.chars > left and b.chars >= SHORT > before[b.first]
 
-    plain = [0 if any(b.out or (b.noisy and not wrapper(b)) for b in _blocks(x.block)) else min(FULL, max(0, len(x.text) - x.linked)) for x in lines]
+    doubtful = _Chains(lambda b: b.out or (b.noisy and not wrapper(b)))
+    plain = [0 if doubtful(x.block) else min(FULL, max(0, len(x.text) - x.linked)) for x in lines]
     dense = max(range(len(lines)), key=lambda k: sum(plain[k : k + WIDTH]), default=0)
-    seen: set[int] = set()
+    asked = set()
     for x in lines:
-        for b in _blocks(x.block):
-            if not b.noisy or id(b) in seen:
-                continue
-            seen.add(id(b))
-            if wrapper(b):
-                continue
-            b.out = b.chars < SHORT or 2 * b.linked >= b.chars or b.first > dense
-    return [any(b.out and (b.sure or b.closed or k == b.first) for b in _blocks(x.block)) for k, x in enumerate(lines)]
+        b = x.block
+        while b is not None and b not in asked:
+            asked.add(b)
+            if b.noisy and not wrapper(b):
+                b.out = b.chars < SHORT or 2 * b.linked >= b.chars or b.first > dense
+            b = b.parent
+    lost = _Chains(lambda b: b.out and (b.sure or b.closed))
+
+    def opens(k: int, b: Block | None) -> bool:
+        """Whether line k is the first of a block that isn't of the article; blocks that begin with the line are its innermost."""
+        while b is not None and b.first == k:
+            if b.out:
+                return True
+            b = b.parent
+        return False
+
+    return [lost(x.block) or opens(k, x.block) for k, x in enumerate(lines)]
 
 
 def weighed(lines: list[Line]) -> tuple[list[str], list[int]]:
@@ -262,8 +296,10 @@ def weighed(lines: list[Line]) -> tuple[list[str], list[int]]:
     texts: list[str] = []
     weights: list[int] = []
     gap: list[Block] = []
-    for x, out in zip(lines, _judge(lines), strict=True):
-        gap += [b for b in x.gap if not any(c.out for c in _blocks(b.parent))]
+    out_of_article = _judge(lines)
+    hidden, noisy = _Chains(lambda b: b.out), _Chains(lambda b: b.noisy)
+    for x, out in zip(lines, out_of_article, strict=True):
+        gap += [b for b in x.gap if not hidden(b.parent)]
         if out:
             continue
         blanks, gap = _blanks(gap), []
@@ -273,7 +309,7 @@ def weighed(lines: list[Line]) -> tuple[list[str], list[int]]:
         weights += [0] * (blanks + never)
         if never:
             continue
-        faint = any(b.noisy for b in _blocks(x.block)) and not x.marked
+        faint = noisy(x.block) and not x.marked
         own = 0 if mostly_links else min(FULL, len(x.text)) // (4 if faint else 1) + (LEAD if x.tag in HEADING else 0) + (MARKED if x.marked else 0)
         texts.append(x.text)
         weights.append(own)
