@@ -883,11 +883,11 @@ def s21(spark, d):
 
 @query("u4_extract_pipeline")
 def u4_extract(spark, d):
-    """Features of the large pose table, scaled, imputed and filled, with one pass for the scalers."""
-    raw = X.pose_features(fx.large_pose(spark, d), fx.CONFIG)
-    scaled = X.standardise(raw, X.fit_scalers(raw))
-    filled = X.impute_means(X.drop_absolute(scaled))
-    return X.zero_fill(filled, [c for c in filled.columns if c not in ("stem", "frame")])[0]
+    """Features of the large pose table, imputed, scaled and filled: made once, then read for scalers, means and rows. Scaling and imputing by means commute."""
+    raw = kept(X.pose_features(fx.large_pose(spark, d), fx.CONFIG), "features")
+    scaled = X.standardise(X.impute_means(raw, written=True), X.fit_scalers(raw))
+    out = X.drop_absolute(scaled)
+    return X.zero_fill(out, [c for c in out.columns if c not in ("stem", "frame")])[0]
 
 
 @query("u4_predict_pipeline", f"with {fx.FRAMES}, {fx.WINDOWS}, {fx.MEMBER_SCORES}, {_ENSEMBLE}, num as (select *, frame as f0, cast(row_number() over (partition by stem order by frame) - 1 as int) as p from recon), posd as (select stem, p as frame, f0, prob from num), {fx.bout_sql('posd', 'prob >= 0.4', 3, 1)} select b.stem, min(f0) as start_frame, max(f0) as end_frame, count(*) as n_frames, round(avg(prob) + 1e-9, 6) as mean_probability, round(max(prob) + 1e-9, 6) as max_probability from fx_bouts b join posd on posd.stem = b.stem and posd.frame between b.start_frame and b.end_frame group by b.stem, b.start_frame")
