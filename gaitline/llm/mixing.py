@@ -82,13 +82,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(*map(column, docs.columns), size, at["total"].alias(source_size), at["level"].alias(target), (F.size(at["used"]) * F.col(size)).cast("long").alias(taken), F.size(at["used"]).alias(copies), F.transform(at["used"], when).alias(positions))
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, one row for each copy taken, range-sorted by training position.
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: the columns of ``docs``, one row for each copy taken, range-sorted by training position, then by id and the hash of the text.
 
     Documents without words take none, but are copied where their place on the line is; an empty table gives an empty
     one. Missing ids, texts and sources, long texts and repeated rows as in ``mix``.
     """
-    mixed = mix(docs, **options)
+    mixed = mix(docs, id_col, text_col, **options)
     positions = mixed.columns[-1]
-    (at,) = fresh(mixed, "position")
-    return mixed.select(*map(column, docs.columns), F.explode(column(positions)).alias(at)).orderBy(at).select(*map(column, docs.columns))
+    at, tie = fresh(mixed, "position", "position_tie")
+    copies = mixed.select(*map(column, docs.columns), F.explode(column(positions)).alias(at), F.xxhash64(column(text_col)).alias(tie))
+    return copies.orderBy(at, column(id_col), tie).select(*map(column, docs.columns))
