@@ -1,9 +1,11 @@
 """Personal data by bootstrapped contextual extraction (operator 10).
 
 Seeds are matches of four fixed forms (e-mail, IP address, payment card, phone). The
-words around seeds become lexical patterns (kind, side, words). Spark holds a bipartite
-graph of patterns and instances (identifier-like tokens, by their surface) and scores it
-in rounds until nothing changes: a pattern is as sure as the known instances it meets, an
+words around seeds become lexical patterns (kind, side, words): two words on the left, the words
+on both sides, and the one word on the left, such as the name of a field, for surfaces built like the kind's seeds.
+Spark holds a bipartite graph of patterns and instances (identifier-like tokens, by their surface) and scores it
+in rounds until nothing changes: a pattern is as sure as the known instances it meets, less
+those of other kinds and those built like no seed; an
 instance as sure as the patterns that meet it. Tokens that no form knows become personal
 data when patterns make them sure. The seeds' spans always stay.
 """
@@ -166,7 +168,15 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def score_graph(found: DataFrame, rounds: int | None = None, least_seeds: int = 3, sure: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def build(surface: str) -> F.Column:
+    """How a surface is built: ``@``; else letters or none, dots alone as joints or not, and its digits by number as the forms of the contract part them."""
+    text, digits = F.col(surface), F.regexp_count(surface, F.lit("[0-9]"))
+    number = F.when(digits < 7, "few").when(digits < 16, "some").when(digits < 20, "card").otherwise("many")
+    plain = F.concat(F.when(text.rlike(r"\p{L}"), "letters ").otherwise(""), F.when(text.rlike(r"^[^.]*\.[^.]*\.[^.]*\.[^.]*$") & ~text.rlike(r"[^\p{L}0-9.]"), "dots ").otherwise(""), number)
+    return F.when(text.contains("@"), F.lit("@")).otherwise(plain)
+
+
+def score_graph(found: DataFrame, rounds: int | None = None, least_seeds: int = 3, sure: float = 0.8, builds: bool = False, least_word_seeds: int = 5) -> tuple[DataFrame, DataFrame]:
     """Patterns (kind, side, words, confidence) that are sure and instances (surface, kind, confidence) of mention rows.
 
     An edge joins a surface to each pattern beside it: the two words on the left, or the
@@ -178,30 +188,63 @@ def score_graph(found: DataFrame, rounds: int | None = None, least_seeds: int =
     ``sure``. Rounds go on until one finds nothing (``rounds`` may bound them).
     Surfaces count once for each pattern, so copies of a document add nothing. Edges are
     summed before each shuffle.
+
+    With ``builds`` a surface's build (see :func:`build`) counts. The word on the left alone, without the marks at
+    its ends, is a pattern, too, with ``least_word_seeds`` known surfaces, and speaks only for
+    surfaces built like some seed of its kind. A surface not found and built like no seed of any kind votes
+    against its patterns: confidence is the kind's share, each kind by its part of all seeds' edges so that the commonest
+    kind does not win beside every word, times the share of known surfaces of the kind among these and
+    those against. A pattern under 0.5 gives no evidence, so that many weak ones add up to nothing.
     """
-    edge = F.explode(F.array(
+    word = F.regexp_replace("left1", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    sides = [
         F.struct(F.lit("left").alias("side"), F.concat_ws(" ", "left2", "left1").alias("words"), (F.col("left2") != "").alias("full")),
         F.struct(F.lit("around").alias("side"), F.concat_ws(" _ ", "left1", "right1").alias("words"), ((F.col("left1") != "") & (F.col("right1") != "")).alias("full")),
-    ))
+    ]
+    if builds:
+        sides.append(F.struct(F.lit("word").alias("side"), word.alias("words"), (word != "").alias("full")))
     place, pattern = ["side", "words"], ["side", "words", "pkind"]
-    edges = found.select("surface", "kind", edge.alias("e")).where("e.full").groupBy("surface", "e.side", "e.words").agg(F.max("kind").alias("seed"))
+    edges = found.select("surface", "kind", F.explode(F.array(*sides)).alias("e")).where("e.full").groupBy("surface", "e.side", "e.words").agg(F.max("kind").alias("seed"))
     # Only where at least least_seeds different surfaces stand can a pattern ever be.
     often = edges.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_seeds).drop("n")
-    graph = materialize(edges.join(often, place), "pii-graph")
-    votes = materialize(graph.where("seed is not null").groupBy(*place, F.col("seed").alias("pkind")).agg(F.count(F.lit(1)).alias("yes")), "pii-votes")
+    graph = edges.join(often, place)
+    if builds:  # a few builds for each kind at most
+        graph = graph.withColumn("build", build("surface"))
+        like = materialize(found.where("kind is not null").select(F.col("kind").alias("pkind"), build("surface").alias("build")).distinct(), "pii-builds")
+        graph = graph.join(F.broadcast(like.select("build").distinct().withColumn("known_build", F.lit(True))), "build", "left").withColumn("against", F.col("seed").isNull() & F.col("known_build").isNull()).drop("known_build")
+    graph = materialize(graph, "pii-graph")
+    voter = F.when(F.col("seed").isNotNull(), F.col("seed"))
+    voter = voter.when(F.col("against"), F.lit("")) if builds else voter
+    votes = materialize(graph.select(*place, voter.alias("pkind")).where("pkind is not null").groupBy(*pattern).agg(F.count(F.lit(1)).alias("yes")), "pii-votes")
+    part = votes.where("pkind != ''").groupBy("pkind").agg((F.lit(1.0) / F.sum("yes")).alias("weight"))  # a row for each kind
+    least = F.when(F.col("side") == "word", least_word_seeds).otherwise(least_seeds)
     unseen, known, done = graph.where("seed is null").drop("seed"), None, 0
     while True:
-        every = votes.groupBy(*place).agg(F.sum("yes").alias("all"))
-        patterns = votes.where(F.col("yes") >= least_seeds).join(every, place).select(*pattern, (F.col("yes") / F.col("all")).alias("confidence"))
+        if builds:
+            weighed = votes.join(F.broadcast(part), "pkind", "left").withColumn("own", F.col("yes") * F.coalesce("weight", F.lit(0.0)))
+            every = weighed.groupBy(*place).agg(F.sum("own").alias("all"), F.sum(F.when(F.col("pkind") == "", F.col("yes")).otherwise(0)).alias("no"))
+            share = F.col("own") / F.col("all") * F.col("yes") / (F.col("yes") + F.col("no"))
+            patterns = weighed.where((F.col("pkind") != "") & (F.col("yes") >= least)).join(every, place).select(*pattern, share.alias("confidence")).where("confidence >= 0.5")
+        else:
+            every = votes.groupBy(*place).agg(F.sum("yes").alias("all"))
+            patterns = votes.where(F.col("yes") >= least_seeds).join(every, place).select(*pattern, (F.col("yes") / F.col("all")).alias("confidence"))
         left = unseen if known is None else unseen.join(known.select("surface"), "surface", "left_anti")
+        spoken = left.join(patterns, place)
+        if builds:
+            alike = F.broadcast(like.withColumn("alike", F.lit(True)))
+            spoken = spoken.join(alike, ["pkind", "build"], "left").where("side != 'word' or alike")
         doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
-        belief = left.join(patterns, place).groupBy("surface", "pkind").agg(F.round(1 - F.exp(doubt), 9).alias("confidence"))
+        belief = spoken.groupBy("surface", "pkind").agg(F.round(1 - F.exp(doubt), 9).alias("confidence"))
         best = belief.groupBy("surface").agg(F.max(F.struct("confidence", F.col("pkind").alias("kind"))).alias("b")).where(F.col("b.confidence") >= sure)
         new = materialize(best.select("surface", "b.kind", "b.confidence"), "pii-belief")
         known, done, ended = (new if known is None else known.unionByName(new)), done + 1, new.isEmpty()
         if ended or done == rounds:
             break
-        more = unseen.join(new.select("surface", F.col("kind").alias("pkind")), "surface").groupBy(*pattern).agg(F.count(F.lit(1)).alias("yes"))
+        met = unseen.join(new.select("surface", F.col("kind").alias("pkind")), "surface")
+        turns = [F.struct("pkind", F.lit(1).alias("by"))]
+        if builds:  # who was against and is found now changes sides
+            turns.append(F.when(F.col("against"), F.struct(F.lit("").alias("pkind"), F.lit(-1).alias("by"))))
+        more = met.select(*place, F.explode(F.array(*turns)).alias("v")).where("v is not null").groupBy(*place, "v.pkind").agg(F.sum("v.by").alias("yes"))
         votes = materialize(votes.unionByName(more).groupBy(*pattern).agg(F.sum("yes").alias("yes")), "pii-votes")
     return patterns.where(F.col("confidence") >= sure).withColumnRenamed("pkind", "kind"), known
 
@@ -209,7 +252,7 @@ def score_graph(found: DataFrame, rounds: int | None = None, least_seeds: int =
 def discovered(scanned: DataFrame, rounds: int | None = None, least_seeds: int = 3, sure: float = 0.8) -> DataFrame:
     """(own_id, own_key, extra): the spans beyond the base ones of each id and text of :func:`scan` that has any."""
     found = scanned.where(F.size("mentions") > 0).select(F.col(scanned.columns[0]).alias("own_id"), F.col("text_key").alias("own_key"), F.explode("mentions").alias("m")).select("own_id", "own_key", "m.*")
-    _, belief = score_graph(found, rounds, least_seeds, sure)
+    _, belief = score_graph(found, rounds, least_seeds, sure, builds=True)
     best = belief.select(F.col("surface").alias("known"), F.col("kind").alias("found_kind"))
     # Of nested places the widest stays: a run of digit groups takes the place of the tokens in it.
     wider = Window.partitionBy("own_id", "own_key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)

@@ -30,20 +30,48 @@ _CHUNK = 1 << 19  # bytes of text at a time: its n-grams take about a hundred ti
 _PLAIN = np.array([c if chr(c).isalnum() else 32 for c in range(128)], np.uint32)
 
 
-def ngram_buckets(texts: list[str], orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number, bucket) arrays for the character n-grams of each order, each text framed by blanks."""
-    framed = [f" {t.lower()} " for t in texts]
-    data = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), np.uint32)
-    data = np.where(data < 128, _PLAIN[np.minimum(data, 127)], data).astype(np.uint64)
-    owner = np.repeat(np.arange(len(framed), dtype=np.int32), [len(t) for t in framed])
-    code, width = np.full(len(data), _SEED), 0
-    for n in sorted(orders):
-        while width < n:
-            tail = data[width:]
-            code = (code[: len(tail)] ^ tail) * _STEP
-            width += 1
-        same = owner[: len(code)] == owner[n - 1 : n - 1 + len(code)]
-        yield owner[: len(code)][same], ((code[same] * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+def _parts(texts: list[str], shared: int, limit: int) -> Iterator[tuple[list[int], list[str]]]:
+    """(text numbers, parts) of at most about ``limit`` characters at a time; parts of one text share ``shared`` characters with the next."""
+    numbers, parts, size = [], [], 0
+    for k, text in enumerate(texts):
+        for at in range(0, max(len(text) - shared, 1), limit):
+            if size >= limit:
+                yield numbers, parts
+                numbers, parts, size = [], [], 0
+            parts.append(text[at : at + limit + shared])
+            numbers.append(k)
+            size += len(parts[-1])
+    if parts:
+        yield numbers, parts
+
+
+def ngram_buckets(texts: list[str], orders: tuple[int, ...] = ORDERS, bits: int = BITS, limit: int = _CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, bucket) arrays for the character n-grams of each order, each text framed by blanks; of a long text part by part, whose shared characters may give a bucket twice."""
+    for numbers, parts in _parts([f" {t.lower()} " for t in texts], max(orders) - 1, limit):
+        data = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        data = np.where(data < 128, _PLAIN[np.minimum(data, 127)], data).astype(np.uint64)
+        part = np.repeat(np.arange(len(parts), dtype=np.int32), [len(t) for t in parts])
+        owner = np.array(numbers, np.int32)[part]
+        code, width = np.full(len(data), _SEED), 0
+        for n in sorted(orders):
+            while width < n:
+                tail = data[width:]
+                code = (code[: len(tail)] ^ tail) * _STEP
+                width += 1
+            same = part[: len(code)] == part[n - 1 : n - 1 + len(code)]
+            yield owner[: len(code)][same], ((code[same] * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def distinct(found: Iterator[np.ndarray], most: int = 1 << 22) -> np.ndarray:
+    """The distinct numbers of all arrays, sorted; beyond ``most`` numbers held they are thinned as they come, so that a text of any length takes bounded memory."""
+    held, size = [np.zeros(0, np.int64)], 0
+    for numbers in found:
+        held.append(numbers)
+        size += len(numbers)
+        if size > most:
+            held = [np.unique(np.concatenate(held))]
+            size = len(held[0])
+    return np.unique(np.concatenate(held))
 
 
 @dataclass(frozen=True)
@@ -65,12 +93,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def present(texts: list[str], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text number, feature) of the features that each text holds, each once."""
-    found = []
-    for owner, bucket in ngram_buckets(texts):
-        at = place[bucket]
-        kept = at >= 0
-        found.append(owner[kept].astype(np.int64) << 32 | at[kept])
-    pairs = np.unique(np.concatenate(found))
+
+    def kept() -> Iterator[np.ndarray]:
+        for owner, bucket in ngram_buckets(texts):
+            at = place[bucket]
+            held = at >= 0
+            yield owner[held].astype(np.int64) << 32 | at[held]
+
+    pairs = distinct(kept())
     return pairs >> 32, pairs & 0xFFFFFFFF
 
 
@@ -93,7 +123,7 @@ def bucket_counts(rows: DataFrame, least: int = 8, bits: int = BITS, orders: tup
             own = np.array(batch.column(1).to_pylist(), np.int64)
             for label in (0, 1):
                 counts[label, size] += int((own == label).sum())
-            pair = np.unique(np.concatenate([owner.astype(np.int64) << bits | bucket for owner, bucket in ngram_buckets(texts_of(batch.column(0)), orders, bits)]))
+            pair = distinct(owner.astype(np.int64) << bits | bucket for owner, bucket in ngram_buckets(texts_of(batch.column(0)), orders, bits))
             np.add.at(counts, (own[pair >> bits], pair & (size - 1)), 1)
         at = np.flatnonzero(counts.any(axis=0))
         for k in range(0, len(at), 50_000):
