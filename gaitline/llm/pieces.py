@@ -237,23 +237,24 @@ codecs.register_error("piece_bytes", _each_byte)
 
 
 @lru_cache(maxsize=2)
-def load_model(path: str) -> PieceModel:
-    return PieceModel(path)
+def load_model(path: str, cache_size: int = 200_000) -> PieceModel:
+    return PieceModel(path, cache_size)
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = (), cache_size: int = 200_000) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, if asked for ``ids``, and the columns of ``keep``.
 
     A missing text counts as empty: its only id is the end mark and it decodes to "".
     Rows that repeat give equal rows, an empty table an empty one; other columns are
-    not read, whatever their names. No shuffle; memory is bounded by a batch of texts.
+    not read, whatever their names. No shuffle; memory is bounded by a batch of texts and
+    ``cache_size`` words, about a kilobyte each, whose ids a worker keeps.
     """
     rows = docs.select(*map(column, (id_col, text_col, *keep)))
     digests = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] + [("ids", T.ArrayType(T.IntegerType()))] * with_ids
     schema = T.StructType([rows.schema.fields[0], *(T.StructField(*d) for d in digests), *rows.schema.fields[2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load_model(model_path)
+        model = load_model(model_path, cache_size)
         digits, eos = model.digits, model.eos
         for batch in text_slices(batches, 1, _CHUNK_BYTES):
             n, digest, back, kept = [], [], [], []

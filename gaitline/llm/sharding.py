@@ -62,11 +62,17 @@ def place(docs: DataFrame, key_col: str = "doc_id", shards: tuple[str, ...] = SH
     return out.join(table, F.col(slot) == F.col(own_slot)).select(*map(column, docs.columns), slot, F.col(own_shard).alias(shard))
 
 
-def write_shards(docs: DataFrame, path: str, key_col: str = "doc_id", files_per_shard: int = 4, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> None:
-    """Writes ``docs`` as Parquet, a folder for each shard, dealt by slot so that a shard is written by several tasks.
+def write_shards(docs: DataFrame, path: str, key_col: str = "doc_id", files_per_shard: int | None = None, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> None:
+    """Writes ``docs`` as Parquet, a folder for each shard.
 
+    The rows are rebalanced by shard, so that a large shard is split over tasks and files of the session's advisory
+    partition size, and there are as many of them as its bytes ask for; ``files_per_shard`` deals to that number by slot instead.
     Rows as in ``place``: an empty table writes no folder of a shard.
     """
     placed = place(docs, key_col, shards, slots)
     slot, shard = placed.columns[-2:]
-    placed.repartition(len(shards) * files_per_shard, shard, F.pmod(F.col(slot), F.lit(files_per_shard))).drop(slot).write.partitionBy(shard).parquet(path)
+    if files_per_shard is None:
+        dealt = placed.hint("rebalance", shard)
+    else:
+        dealt = placed.repartition(len(shards) * files_per_shard, shard, F.pmod(F.col(slot), F.lit(files_per_shard)))
+    dealt.drop(slot).write.partitionBy(shard).parquet(path)
