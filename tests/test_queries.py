@@ -62,3 +62,16 @@ def test_entry_imports_without_the_training_data_operators():
     import __spark_entry__ as entry
 
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_works_where_the_training_data_operators_are_deleted(tmp_path):
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).parents[1]
+    shutil.copytree(root / "gaitline", tmp_path / "gaitline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 90 and set(e.oracle_sql()) <= set(q) and not [k for k in q if k == 'pipeline' or k.startswith('op')]"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
