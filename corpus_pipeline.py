@@ -16,6 +16,8 @@ from gaitline.llm.common import column, fresh, materialize
 
 #: Documents in an Arrow batch: with thousands of long texts in each, as by default, a batch would take more than a task's share of memory.
 BATCH_ROWS = 500
+#: Words whose ids an encoding worker keeps: workers and heap have grown in the stages before, so that there is less room than in a job of its own.
+CACHED_WORDS = 50_000
 
 
 def small_batches(stage):
@@ -77,7 +79,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The token ids of every copy, with its ``position`` in the training order that the mix has written. Odd rows as in ``pieces.encode_documents``."""
     ordered = in_written_order(docs)
     position = ordered.columns[-1]
-    return pieces.encode_documents(ordered, queries.piece_model(), with_ids=True, keep=(position,)).withColumnRenamed(position, "position")
+    return pieces.encode_documents(ordered, queries.piece_model(), with_ids=True, keep=(position,), cache_size=CACHED_WORDS).withColumnRenamed(position, "position")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("personal_data", mask_personal_data), ("mixing", mix_sources), ("pieces", encode_pieces)]
