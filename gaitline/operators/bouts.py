@@ -176,9 +176,19 @@ def recuse(windows: DataFrame, members: DataFrame, seen: DataFrame) -> DataFrame
     return windows.crossJoin(F.broadcast(members)).join(seen.select("member", "stem"), ["member", "stem"], "left_anti")
 
 
+def mean_in_order(values: Column) -> Column:
+    """Mean of the ``v`` of an array of structs, added one after the other, so that a mean near a threshold has the same last bit in every run; NULL if empty."""
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda total, x: total + x["v"]), F.size(values))
+
+
 def reconstruct(scored: DataFrame, threshold: float, prob: str = "prob", truth: str | None = "truth", keys: tuple[str, ...] = ("stem", "frame")) -> DataFrame:
-    """A4, A5, P10: frames from rows of overlapping windows and members: one sum over one count, largest truth, threshold on the double."""
-    mean = F.sum(F.col(prob).cast("double")) / F.count(prob)
+    """A4, A5, P10: frames from rows of overlapping windows and members: one sum over one count, largest truth, threshold on the double.
+
+    Values are added by ``member``, and the latest ``start`` of a member first, as far as the rows have these columns.
+    """
+    places = [p for c, p in (("member", F.col("member")), ("start", -F.col("start"))) if c in scored.columns]
+    value = F.struct(*[p.alias(f"at{i}") for i, p in enumerate(places)], F.col(prob).cast("double").alias("v"))
+    mean = mean_in_order(F.sort_array(F.collect_list(F.when(F.col(prob).isNotNull(), value))))
     out = scored.groupBy(*keys).agg(mean.alias("prob"), *([F.max(truth).cast("int").alias("truth")] if truth else [])).where(F.col("prob").isNotNull())
     return out.withColumn("pred", (F.col("prob") >= threshold).cast("int"))
 
