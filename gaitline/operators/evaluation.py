@@ -48,11 +48,15 @@ def source_frames(rows: DataFrame, plan: DataFrame, sources: DataFrame, score: C
     """(source, subset, stem, frame, prob, truth, pred): frames of each pair, a mean over all windows and members.
 
     ``rows`` are window rows (stem, start, frame, truth, …) of all videos; ``score`` gets those that any pair wants, once for each
-    member (``member``), and returns (member, stem, frame, truth, prob).
+    member (``member``), and returns (member, stem, frame, truth, prob), with ``start`` where it has one. A frame's values of one member
+    are a short list, which fans out to the pairs; each pair adds up the last member and the latest window first.
     """
     scored = score(rows.join(plan.select("member", "stem").distinct(), "stem"))
-    sums = scored.groupBy("member", "stem", "frame").agg(F.sum(F.col("prob").cast("double")).alias("total"), F.count("prob").alias("n"), F.max("truth").cast("int").alias("truth"))
-    spread = sums.join(plan, ["member", "stem"]).groupBy(*PAIR, "stem", "frame").agg((F.sum("total") / F.sum("n")).alias("prob"), F.max("truth").alias("truth"))
+    value = F.struct((F.col("start") if "start" in scored.columns else F.lit(0)).alias("at"), F.col("prob").cast("double").alias("v"))
+    lists = scored.groupBy("member", "stem", "frame").agg(F.collect_list(F.when(F.col("prob").isNotNull(), value)).alias("list"), F.max("truth").cast("int").alias("truth"))
+    placed = F.transform("list", lambda x: F.struct(F.col("member"), x["at"].alias("at"), x["v"].alias("v")))
+    mean = B.mean_in_order(F.sort_array(F.flatten(F.collect_list(placed)), asc=False))
+    spread = lists.join(plan, ["member", "stem"]).groupBy(*PAIR, "stem", "frame").agg(mean.alias("prob"), F.max("truth").alias("truth"))
     return spread.where("prob is not null").join(sources.select("source", "threshold"), "source").withColumn("pred", (F.col("prob") >= F.col("threshold")).cast("int")).drop("threshold")
 
 

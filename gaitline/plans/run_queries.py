@@ -32,7 +32,7 @@ def plan_tables(spark, d):
 def closed_form(rows):
     """The members' stand-in: a probability by window and member that SQL can state."""
     turn = ((F.col("start") / fx.STRIDE).cast("int") + F.col("member")) % 5
-    return rows.withColumn("prob", F.least(F.lit(1.0), F.col("prob") * (0.8 + 0.1 * turn)))
+    return rows.withColumn("prob", F.least(F.lit(1.0), F.col("prob") * ((8 + turn) / 10)))
 
 
 def planned_frames(spark, d):
