@@ -1,5 +1,7 @@
 """Means of overlapping windows do not depend on the order in which rows arrive."""
 
+from itertools import permutations
+
 import duckdb
 import pytest
 
@@ -25,6 +27,17 @@ def test_members_are_summed_one_after_the_other_and_missing_values_left_out(spar
     assert B.reconstruct(scored.where("prob is null"), 0.2).count() == 0
 
 
+def test_a_frame_whose_mean_is_the_threshold_reaches_it_in_whatever_order_its_rows_arrive(spark):
+    # u4_evaluate_pipeline, frames of value 50 of a user that two members score: 2 of the 24 orders add up to less than 2
+    scores = [(0, 45, 0.6), (0, 40, 0.55), (2, 45, 0.45), (2, 40, 0.4)]
+    orders = list(permutations(scores))
+    rows = [(f"v{k}", 45, *r, 1) for k, order in enumerate(orders) for r in order]
+    assert sum(a[2] + b[2] + c[2] + d[2] < 2 for a, b, c, d in orders) == 2
+    scored = spark.createDataFrame(rows, "stem string, frame int, member int, start int, prob double, truth int").coalesce(1)
+    counts = B.binary_metrics(B.reconstruct(scored, 0.5), []).first()
+    assert (counts.tp, counts.fp, counts.fn, counts.tn) == (24, 0, 0, 0)
+
+
 @pytest.mark.parametrize("rows", [WINDOWS, WINDOWS[::-1]])
 def test_frames_of_a_source_are_summed_from_the_last_member_and_latest_window(spark, rows):
     table = spark.createDataFrame
